@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,18 +11,19 @@ from pyspark.sql import functions as F
 from partloom.functions import rules
 
 _STRIPPED = " \t\n\x0b\f\r\x00"
-_BLANK = r"^[\s\x{0B}\x{85}\p{Z}]*$"
+# Unicode white space; a blank text consists of these only.
+_SPACES = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # The source rules mean ASCII white space and Unicode word boundaries.
 _ASCII_SPACE = r"[\t\n\x0B\f\r ]"
 
 
 def is_blank(c: Column) -> Column:
     """Null, empty or white space only."""
-    return c.isNull() | c.rlike(_BLANK)
+    return c.isNull() | (F.ltrim(c, F.lit(_SPACES)) == "")
 
 
 def is_present(c: Column) -> Column:
-    return c.isNotNull() & ~c.rlike(_BLANK)
+    return c.isNotNull() & (F.ltrim(c, F.lit(_SPACES)) != "")
 
 
 def strip(c: Column) -> Column:
@@ -48,34 +50,54 @@ def _rewrite_body(body: str) -> str:
     return body.replace(r"\s", _ASCII_SPACE)
 
 
+# Borders of a word in any script, written out because ``\\b`` means different things in different runtimes.
+_BEFORE = r"(?<![\p{L}\p{M}\p{N}_])"
+_AFTER = r"(?![\p{L}\p{M}\p{N}_])"
+
+
 def _rewrite(kind: str, body: str, text: str) -> tuple[str, str]:
     """Pattern and replacement of a rule."""
     body = _rewrite_body(body)
     if kind == "plain":
         return body, text
     if kind == "listed":
-        return rf"(?imUd)(^|,{_ASCII_SPACE}*){body}\b", "$1" + text
+        return rf"(?imd)(^|,{_ASCII_SPACE}*){body}{_AFTER}", "$1" + text
     tail = r"(?![^(]*\))" if kind == "bare" else ""
-    return rf"(?iU)\b{body}\b{tail}", text
+    return rf"(?i){_BEFORE}{body}{_AFTER}{tail}", text
+
+
+def _stem(body: str) -> str:
+    """Upper-case letters every match of a rule contains."""
+    return max(re.split(r"[^A-Za-z0-9/&]+", re.sub(r"\[[^\]]*\]|\\s|\w\?", " ", body)), key=len).upper()
 
 
-def _any_rewrite() -> str:
-    """One pattern that matches whenever some rule would; most descriptions need no rule at all."""
-    bodies: dict[str, list[str]] = {"plain": [], "word": [], "listed": []}
-    for kind, body, _ in rules.DESCRIPTION_REWRITES:
-        bodies["word" if kind == "bare" else kind].append(_rewrite_body(body))
-    words, listed, plain = ("|".join(bodies[k]) for k in ("word", "listed", "plain"))
-    return rf"(?imUd)\b(?:{words})\b|(?:^|,{_ASCII_SPACE}*)(?:{listed})\b|{plain}"
+def _may_rewrite(c: Column) -> Column:
+    """False only for texts no rule can match; most descriptions need no rule at all.
+
+    Plain substring tests come first; one pattern over all rules follows for texts that pass them.
+    """
+    stems = sorted({_stem(body) for _, body, _ in rules.DESCRIPTION_REWRITES if _stem(body)} | set("–—−"))
+    upper = F.array(F.upper(c))
+    seen = F.exists(upper, lambda u: reduce(lambda a, b: a | b, [F.contains(u, F.lit(s)) for s in stems]))
+    words = "|".join(_rewrite_body(b) for k, b, _ in rules.DESCRIPTION_REWRITES if k in ("word", "bare"))
+    listed = "|".join(_rewrite_body(b) for k, b, _ in rules.DESCRIPTION_REWRITES if k == "listed")
+    plain = "|".join(_rewrite_body(b) for k, b, _ in rules.DESCRIPTION_REWRITES if k == "plain")
+    return seen & c.rlike(rf"(?imd)\b(?:{words})\b|(?:^|,{_ASCII_SPACE}*)(?:{listed})\b|{plain}")
 
 
 def expand_description(c: Column) -> Column:
-    """Spell out component abbreviations; blank becomes the empty string."""
+    """Spell out component abbreviations; blank becomes the empty string.
+
+    The rule chain sits in a lambda of its own: inlined, its generated method is too long for the JIT.
+    """
 
     def step(acc: Column, rule: tuple[str, str, str]) -> Column:
         return F.regexp_replace(acc, *_rewrite(*rule))
 
-    rewritten = strip(reduce(step, rules.DESCRIPTION_REWRITES, c))
-    return F.when(is_blank(c), F.lit("")).when(c.rlike(_any_rewrite()), rewritten).otherwise(strip(c))
+    def rewritten(text: Column) -> Column:
+        return F.when(_may_rewrite(text), reduce(step, rules.DESCRIPTION_REWRITES, text)).otherwise(text)
+
+    return F.when(is_blank(c), F.lit("")).otherwise(strip(F.get(F.transform(F.array(c), rewritten), F.lit(0))))
 
 
 def expansion_is_stable(c: Column) -> Column:

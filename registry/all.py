@@ -1,3 +1,3 @@
 """Imports every query module, in inventory order."""
 
-from registry import scalars  # noqa: F401
+from registry import figures, relational, scalars, scans  # noqa: F401
