@@ -63,5 +63,6 @@ def files_for(files: DataFrame, viewer_id: int, admin: bool) -> DataFrame:
     return files if admin else files.where(F.col("user_id") == viewer_id)
 
 
-def with_owner(files: DataFrame, users: DataFrame) -> DataFrame:
-    return files.join(users, "user_id")
+def with_owner(owned: DataFrame, users: DataFrame) -> DataFrame:
+    """Files or sessions with their user."""
+    return owned.join(users, "user_id")

@@ -88,10 +88,13 @@ def process_files(
 ) -> RunResult:
     """Run all files at once. A file with an invalid line fails as a unit and yields no lines.
 
-    With ``cut`` the classified lines are written to the shared folder once, since the stored table, the
-    result sheet and the figures all start from them.
+    With ``cut`` the standardised and the classified lines are written to the shared folder once each: the
+    first feed the verdicts and both kinds of classification, the second the stored table, the result sheet
+    and the figures. Readers of the written tables load only the columns they need.
     """
     standard = standardize(rows, files, sides.manufacturers)
+    if cut:
+        standard = written(standard, "standard")
     verdicts = file_verdicts(standard)
     passed = verdicts.where(F.col("valid")).select("file_id")
     good = standard.join(passed, "file_id", "left_semi")

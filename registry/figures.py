@@ -259,8 +259,8 @@ def session_table_stream(d):
     spark = d.spark
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    source = f"{d.sf_dir}/events.parquet"
-    raw = spark.readStream.schema(d.table("events").schema).parquet(source)
+    schema = d.table("events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d.sf_dir)
     kind = F.when(F.col("event_type") == "signup", "login").when(F.col("event_type") == "error", "logout").otherwise("other")
     events = raw.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
     out, checkpoint = scratch_path(spark, "session-stream"), scratch_path(spark, "session-checkpoint")
@@ -461,11 +461,9 @@ def loaded(d):
 
 @query(
     "Q8_refresh_references",
-    f"""SELECT id, round(CAST(v[1] AS DOUBLE), 5) AS head, stale FROM (SELECT id, stale, CASE WHEN stale THEN {sqlx.stand_in('txt')} ELSE embedding END AS v FROM (
-    SELECT *, {sqlx.ref_text()} AS txt, keyword LIKE '%5' OR length(level3) % 4 = 0 AS stale FROM (SELECT * REPLACE (CASE WHEN keyword LIKE '%5' THEN keyword || ' new' ELSE keyword END AS keyword,
-      {sqlx.stand_in('level3')} AS embedding), keyword LIKE '%5' AS k5 FROM refs_plain)))""".replace(
-        "keyword LIKE '%5' OR length(level3) % 4 = 0 AS stale", "k5 OR length(level3) % 4 = 0 AS stale"
-    ),
+    f"""SELECT id, round(CAST(v[1] AS DOUBLE), 5) AS head, stale FROM (SELECT *, CASE WHEN stale THEN {sqlx.stand_in(sqlx.ref_text())}
+    ELSE {sqlx.stand_in('level3')} END AS v FROM (SELECT * REPLACE (CASE WHEN keyword LIKE '%5' THEN keyword || ' new' ELSE keyword END AS keyword),
+    keyword LIKE '%5' OR length(level3) % 4 = 0 AS stale FROM refs_plain))""",
     "refs_plain",
 )
 def refresh(d):

@@ -249,7 +249,7 @@ def _stored(d):
     return hashed.withColumns({"text_hash": text.text_hash(F.col("text")), "embedding": vector})
 
 
-_STORED = f"(SELECT *, {sqlx.stored_text()} AS text, eau IS NOT NULL AND std_cost > 0 AS has_vector FROM lines)"
+_STORED = f"(SELECT *, {sqlx.stored_text()} AS text, coalesce(eau IS NOT NULL AND std_cost > 0, false) AS has_vector FROM lines)"
 
 
 @query(
@@ -259,10 +259,8 @@ _STORED = f"(SELECT *, {sqlx.stored_text()} AS text, eau IS NOT NULL AND std_cos
 )
 def reuse_embeddings(d):
     stored = _stored(d)
-    known, to_do = reuse.reuse_embeddings(reuse.distinct_texts(stored), stored)
-    return known.select("text_hash", F.lit(True).alias("known")).unionByName(
-        to_do.select("text_hash", F.lit(False).alias("known"))
-    )
+    matched = reuse.reuse_embeddings(reuse.distinct_texts(stored), stored)
+    return matched.select("text_hash", F.col("embedding").isNotNull().alias("known"))
 
 
 @query(
@@ -385,14 +383,16 @@ def pick_list(d):
 
 @query(
     "J18_users_files_sessions",
-    "SELECT user_id, file_id, session_id FROM files JOIN users USING (user_id) JOIN sessions USING (user_id)",
+    "SELECT user_id, 'file' AS kind, file_id AS id FROM files JOIN users USING (user_id) UNION ALL SELECT user_id, 'session', session_id FROM sessions JOIN users USING (user_id)",
     "files",
     "users",
     "sessions",
 )
 def users_files_sessions(d):
-    owned = filters.with_owner(d.files, d.users).select("user_id", "file_id")
-    return owned.join(sessions.sessions_from_events(d.logins).select("user_id", "session_id"), "user_id")
+    """Files and sessions of every user, one row each; never files times sessions."""
+    owned = filters.with_owner(d.files, d.users).select("user_id", F.lit("file").alias("kind"), F.col("file_id").alias("id"))
+    table = filters.with_owner(sessions.sessions_from_events(d.logins), d.users)
+    return owned.unionByName(table.select("user_id", F.lit("session").alias("kind"), F.col("session_id").alias("id")))
 
 
 _TOPQ = "(SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY eau DESC, line_no) AS rank FROM lines WHERE eau IS NOT NULL AND eau <> 0)"
@@ -413,22 +413,16 @@ def in_top(d):
 @query(
     "U1_matched_old_lines",
     _with(
-        "SELECT DISTINCT l.item_id, e.item_id AS old_id FROM lines l JOIN edits e ON l.file_id = e.file_id AND (l.item = e.item OR l.description = e.description)",
+        """SELECT item_id AS old_id FROM edits e WHERE (file_id, item) IN (SELECT (file_id, item) FROM lines WHERE auto_mode)
+    OR (file_id, description) IN (SELECT (file_id, description) FROM lines WHERE auto_mode)""",
         _EDIT_KEYS,
     ),
     "lines",
 )
 def matched_old_lines(d):
-    """Old lines a line can take an edit from: by item or by description, each once.
-
-    Matching runs over distinct (file, item, description) values, not over pairs of lines.
-    """
-    old = _edits(d).where(F.col("new_commodity") != "").join(d.lines.select("file_id", "item_id", "item", "description"), ["file_id", "item_id"])
-    new = d.lines.select("file_id", "item_id", "item", "description")
-    by_item = new.join(old.select("file_id", "item", F.col("item_id").alias("old_id")), ["file_id", "item"])
-    by_text = new.join(old.select("file_id", "description", F.col("item_id").alias("old_id")), ["file_id", "description"])
-    pair = ["item_id", "old_id"]
-    return by_item.select(*pair).unionByName(by_text.select(*pair)).distinct()
+    """Edited old lines that some line in auto mode can take: matched by any key, each old line once."""
+    old = _edits(d).where(F.col("new_commodity") != "").join(d.lines.drop("commodity"), ["file_id", "item_id"])
+    return remap.matched_previous(d.lines.where("auto_mode"), old).select(F.col("item_id").alias("old_id"))
 
 
 @query(
