@@ -20,9 +20,12 @@ def clean_money(c: Column) -> Column:
     Commas count as thousands separators even where they are decimal ones ("12,50" is 1250), text without a
     number is 0, null stays null. A number too large for the price type gives null and fails validation.
     """
+    # Most cells are plain numbers and need no pattern.
+    plain = F.when(F.translate(c, "0123456789.-", "") == "", c.try_cast(PRICE_TYPE))
     kept = F.regexp_replace(c, r"[^0-9.\-]", "")
     head = F.regexp_extract(kept, r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", 0)
-    return F.when(c.isNotNull(), F.when(head == "", F.lit(0).cast(PRICE_TYPE)).otherwise(head.try_cast(PRICE_TYPE)))
+    cleaned = F.when(head == "", F.lit(0).cast(PRICE_TYPE)).otherwise(head.try_cast(PRICE_TYPE))
+    return F.when(c.isNotNull(), F.coalesce(plain, cleaned))
 
 
 def money_column(df: DataFrame, name: str) -> Column:
@@ -38,8 +41,11 @@ def money_column(df: DataFrame, name: str) -> Column:
 
 def clean_quantity(c: Column) -> Column:
     """Leading integer of a text ("1,000" is 1, "12.9" is 12, "abc" is 0); blank is null."""
-    head = F.regexp_replace(F.regexp_extract(strip(c), r"^[+-]?[0-9]+(?:_[0-9]+)*", 0), "_", "")
-    return F.when(is_present(c), F.when(head == "", F.lit(0).cast("bigint")).otherwise(head.try_cast("bigint")))
+    text = strip(c)
+    plain = F.when(F.translate(text, "0123456789", "") == "", text.try_cast("bigint"))
+    head = F.regexp_replace(F.regexp_extract(text, r"^[+-]?[0-9]+(?:_[0-9]+)*", 0), "_", "")
+    cleaned = F.when(head == "", F.lit(0).cast("bigint")).otherwise(head.try_cast("bigint"))
+    return F.when(is_present(c), F.coalesce(plain, cleaned))
 
 
 def apply_multiplier(quantity: Column, multiplier: Column) -> Column:

@@ -38,10 +38,7 @@ def stand_in_embedding(text: Column, dims: int = 64) -> Column:
     blocks = [
         F.sha2(F.concat(text, F.lit(f"#{block}")), 256) for block in range((dims + 63) // 64)
     ]
-    digits = F.substring(F.concat(*blocks), 1, dims)
+    digits = F.split(F.substring(F.concat(*blocks), 1, dims), "")
     return F.transform(
-        F.sequence(F.lit(1), F.lit(dims)),
-        lambda i: ((F.instr(F.lit("0123456789abcdef"), digits.substr(i, F.lit(1))) - F.lit(8.5)) / F.lit(7.5)).cast(
-            "float"
-        ),
+        digits, lambda x: ((F.instr(F.lit("0123456789abcdef"), x) - F.lit(8.5)) / F.lit(7.5)).cast("float")
     )

@@ -11,6 +11,7 @@ from partloom.functions import rules
 from partloom.functions.money import apply_multiplier, clean_money, clean_quantity
 from partloom.functions.scope import grade_of
 from partloom.functions.text import is_blank, is_present, presence, squeeze_key, strip
+from partloom.sources.sheets import last_position
 from partloom.sources.side_tables import catalogue_values
 from partloom.sources.sinks import default_description
 
@@ -159,42 +160,51 @@ def commodity_path(mapping: Column) -> Column:
     )
 
 
-def with_file_options(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Mapping and options of each file on its rows."""
-    options = files.select(
+# Raw line column of every target.
+RAW_COLUMNS = {
+    "raw_quote_no": "SFDC QUOTE NUMBER",
+    "raw_item": "ITEM",
+    "raw_mpn": "MFG_PARTNO",
+    "raw_mfg": "GLOBAL_MFG_NAME",
+    "raw_description": "DESCRIPTION",
+    "raw_site": "SITE",
+    "raw_std_cost": "STD_COST",
+    "raw_last_purchase_price": "LAST_PURCHASE_PRICE",
+    "raw_last_po": "LAST_PO",
+    "raw_eau": "EAU",
+    "raw_level1": "LEVEL1_DESC",
+    "raw_level2": "LEVEL2_DESC",
+    "raw_level3": "LEVEL3_DESC",
+    "raw_global_code": "GLOBAL_COMM_CODE_DESC",
+}
+
+
+def file_options(files: DataFrame) -> DataFrame:
+    """One row per file: its options, and for every target the position of the mapped column.
+
+    Headers are resolved here, once per file, so a row only picks array elements.
+    """
+    slots = [
+        last_position(F.col("headers"), F.element_at("mapping", target)).alias(column)
+        for column, target in RAW_COLUMNS.items()
+    ]
+    return files.select(
         "file_id",
-        "mapping",
+        F.struct(*slots).alias("slots"),
+        commodity_path(F.col("mapping")).alias("path"),
         F.coalesce("auto_mode", F.lit(False)).alias("auto_mode"),
         F.coalesce("demand_lookup", F.lit(False)).alias("demand_lookup"),
         "volume_multiplier",
     )
-    return rows.join(options, "file_id")
-
-
-def mapped_cell(target: str) -> Column:
-    """Cell of a row for a target; an unmapped target is null."""
-    return F.element_at("cells", F.element_at("mapping", target))
-
-
-def apply_mapping(rows: DataFrame) -> DataFrame:
-    """The ten raw target cells and the four catalogue cells as columns."""
-    names = {
-        "raw_quote_no": "SFDC QUOTE NUMBER",
-        "raw_item": "ITEM",
-        "raw_mpn": "MFG_PARTNO",
-        "raw_mfg": "GLOBAL_MFG_NAME",
-        "raw_description": "DESCRIPTION",
-        "raw_site": "SITE",
-        "raw_std_cost": "STD_COST",
-        "raw_last_purchase_price": "LAST_PURCHASE_PRICE",
-        "raw_last_po": "LAST_PO",
-        "raw_eau": "EAU",
-        "raw_level1": "LEVEL1_DESC",
-        "raw_level2": "LEVEL2_DESC",
-        "raw_level3": "LEVEL3_DESC",
-        "raw_global_code": "GLOBAL_COMM_CODE_DESC",
-    }
-    return rows.withColumns({column: mapped_cell(target) for column, target in names.items()})
+
+
+def apply_mapping(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Raw target cells and file options on every row; an unmapped target is null.
+
+    ``rows`` holds ``file_id, values``; ``files`` holds ``headers``, ``mapping`` and the options.
+    """
+    joined = rows.join(file_options(files), "file_id")
+    return joined.withColumns({c: F.get("values", F.col(f"slots.{c}")) for c in RAW_COLUMNS}).drop("values", "slots")
 
 
 def item_or_mpn(item: Column, mpn: Column) -> Column:
@@ -229,7 +239,6 @@ def standard_columns(mapped: DataFrame) -> DataFrame:
             "last_po": clean_money(F.col("raw_last_po")),
             "eau": apply_multiplier(clean_quantity(F.col("raw_eau")), F.col("volume_multiplier")),
             "grade": grade_of(F.col("auto_mode")),
-            "path": commodity_path(F.col("mapping")),
         }
     )
 

@@ -75,6 +75,15 @@ def classify(
     return existing.select(*keep).unionByName(searched.select(*keep))
 
 
+def file_status(verdicts: DataFrame) -> DataFrame:
+    """Final status of every file, with the reason of a failure."""
+    return verdicts.select(
+        "file_id",
+        F.when(F.col("valid"), "completed").otherwise("failed").alias("status"),
+        F.when(~F.col("valid"), F.col("error_message")).alias("error_message"),
+    )
+
+
 def process_files(
     rows: DataFrame,
     files: DataFrame,
@@ -101,9 +110,4 @@ def process_files(
     classified = classify(good, sides, stored, embedder, previous, line_edits, changes)
     if cut:
         classified = written(classified, "classified")
-    status = verdicts.select(
-        "file_id",
-        F.when(F.col("valid"), "completed").otherwise("failed").alias("status"),
-        F.when(~F.col("valid"), F.col("error_message")).alias("error_message"),
-    )
-    return RunResult(classified, enrich(classified, sides.quotes, sides.aml), status)
+    return RunResult(classified, enrich(classified, sides.quotes, sides.aml), file_status(verdicts))

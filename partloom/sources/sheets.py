@@ -1,4 +1,4 @@
-"""Item sheets with arbitrary headers: many CSV files read as one frame of header -> cell rows."""
+"""Item sheets with arbitrary headers: many CSV files read as one frame of cell arrays."""
 
 from __future__ import annotations
 
@@ -47,54 +47,39 @@ def _positioned(raw: DataFrame, max_columns: int) -> DataFrame:
     Splits of one file are ordered by their byte offset and records of one split by the running id, so the
     pair orders the whole file without a sort.
     """
-    cells = F.array(*[F.col(f"c{i}") for i in range(max_columns)])
+    values = F.array(*[F.col(f"c{i}") for i in range(max_columns)])
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.struct(
             F.col("_metadata.file_block_start").alias("offset"),
             F.monotonically_increasing_id().alias("record"),
         ).alias("position"),
-        cells.alias("cells"),
+        values.alias("values"),
     )
 
 
-def rows_from_records(raw: DataFrame, max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """Zip the first record of each file onto its other records.
+def split_headers(raw: DataFrame, max_columns: int = MAX_COLUMNS) -> tuple[DataFrame, DataFrame]:
+    """Data rows and headers of the records of many files.
 
-    Returns ``file, position, headers, cells`` with ``cells`` a header -> cell map. The header table has one
-    row per file; the last column wins when a header occurs twice, columns without a header are dropped.
+    Rows are ``file, position, values``; headers ``file, headers``, one row per file, where ``values`` and
+    ``headers`` run in step. Header texts are not repeated on the rows.
     """
     records = _positioned(raw, max_columns)
     headers = (
         records.where(F.col("position.offset") == 0)
         .groupBy("file")
-        .agg(F.min_by("cells", "position").alias("names"), F.min("position").alias("header_position"))
-        .select(
-            "file",
-            "header_position",
-            "names",
-            F.filter(
-                F.sequence(F.lit(0), F.size("names") - 1),
-                lambda i: F.get("names", i).isNotNull()
-                & ~F.exists(
-                    F.slice("names", i + 2, F.lit(max_columns)), lambda later: later.eqNullSafe(F.get("names", i))
-                ),
-            ).alias("kept"),
-        )
+        .agg(F.min_by("values", "position").alias("headers"), F.min("position").alias("header_position"))
     )
-    zipped = records.join(headers, "file").where(F.col("position") > F.col("header_position"))
-    return zipped.select(
-        "file",
-        "position",
-        F.transform("kept", lambda i: F.get("names", i)).alias("headers"),
-        F.map_from_arrays(
-            F.transform("kept", lambda i: F.get("names", i)), F.transform("kept", lambda i: F.get("cells", i))
-        ).alias("cells"),
+    rows = records.join(headers.select("file", "header_position"), "file").where(
+        F.col("position") > F.col("header_position")
     )
+    return rows.select("file", "position", "values"), headers.select("file", "headers")
 
 
-def read_sheets(spark: SparkSession, path: str | list[str], max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """All CSV sheets below a path as ``file, position, headers, cells``; every cell stays text.
+def read_sheets(
+    spark: SparkSession, path: str | list[str], max_columns: int = MAX_COLUMNS
+) -> tuple[DataFrame, DataFrame]:
+    """Rows and headers of all CSV sheets below a path; every cell stays text.
 
     Cells beyond ``max_columns`` would be lost, so such a record stops the run instead.
     """
@@ -106,7 +91,26 @@ def read_sheets(spark: SparkSession, path: str | list[str], max_columns: int = M
         .option("pathGlobFilter", "*.[cC][sS][vV]")
         .csv(path)
     )
-    return rows_from_records(guard_width(raw, max_columns), max_columns)
+    return split_headers(guard_width(raw, max_columns), max_columns)
+
+
+def row_maps(rows: DataFrame, headers: DataFrame, file: str = "file_id") -> DataFrame:
+    """Rows as header -> cell maps; the last column of a repeated header counts, unnamed columns do not."""
+    joined = rows.join(headers, file)
+    kept = F.filter(
+        F.sequence(F.lit(0), F.size("headers") - 1),
+        lambda i: F.get("headers", i).isNotNull() & (last_position(F.col("headers"), F.get("headers", i)) == i),
+    )
+    cells = F.map_from_arrays(
+        F.transform(kept, lambda i: F.get("headers", i)), F.transform(kept, lambda i: F.get("values", i))
+    )
+    return joined.withColumn("cells", cells)
+
+
+def last_position(headers: Column, header: Column) -> Column:
+    """Index from 0 of the last column with a header; null when there is none."""
+    from_end = F.array_position(F.reverse(headers), header)
+    return F.when(from_end > 0, (F.size(headers) - from_end).cast("int"))
 
 
 def guard_width(raw: DataFrame, max_columns: int) -> DataFrame:
@@ -123,10 +127,14 @@ def sample_rows(rows: DataFrame, file: str = "file_id", order: str = "line_no",
     return rows.withColumn("sample_no", F.row_number().over(w)).where(F.col("sample_no") <= n)
 
 
-def header_table(rows: DataFrame, file: str = "file_id") -> DataFrame:
-    """``file, pos, header``: one row per column of a file, from the first row of each file."""
-    return (
-        rows.groupBy(file)
-        .agg(F.first("headers").alias("headers"))
-        .select(file, F.posexplode("headers").alias("pos", "header"))
+def header_table(headers: DataFrame, file: str = "file_id") -> DataFrame:
+    """``file, pos, header``: one row per named column of a file."""
+    return headers.select(file, F.posexplode("headers").alias("pos", "header")).where(F.col("header").isNotNull())
+
+
+def sample_values(rows: DataFrame, headers: DataFrame, file: str = "file_id", order: str = "line_no") -> DataFrame:
+    """``file, header, value`` of the sample rows."""
+    sample = sample_rows(rows.select(file, order, "values"), file, order).join(headers, file)
+    return sample.select(file, F.explode(F.arrays_zip("headers", "values")).alias("cell")).select(
+        file, F.col("cell.headers").alias("header"), F.col("cell.values").alias("value")
     )

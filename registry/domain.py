@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from partloom.functions.scope import grade_of
 from partloom.functions.text import reference_text
 from partloom.functions.vectors import stand_in_embedding
+from partloom.operators.mapping import RAW_COLUMNS
 from partloom.plans.process import SideTables
+from partloom.session import tune
+from partloom.sources.sheets import header_table
 from registry import sqlx
 
 PRICE = "decimal(18,4)"
@@ -60,22 +63,7 @@ LAYOUTS: dict[int, dict[str, str]] = {
         "raw_eau": "eau",
     },
 }
-TARGET_OF = {
-    "raw_quote_no": "SFDC QUOTE NUMBER",
-    "raw_item": "ITEM",
-    "raw_mpn": "MFG_PARTNO",
-    "raw_mfg": "GLOBAL_MFG_NAME",
-    "raw_description": "DESCRIPTION",
-    "raw_site": "SITE",
-    "raw_std_cost": "STD_COST",
-    "raw_last_purchase_price": "LAST_PURCHASE_PRICE",
-    "raw_last_po": "LAST_PO",
-    "raw_eau": "EAU",
-    "raw_level1": "LEVEL1_DESC",
-    "raw_level2": "LEVEL2_DESC",
-    "raw_level3": "LEVEL3_DESC",
-    "raw_global_code": "GLOBAL_COMM_CODE_DESC",
-}
+TARGET_OF = RAW_COLUMNS
 
 
 def _string_map(entries: dict[str, Column]) -> Column:
@@ -84,7 +72,7 @@ def _string_map(entries: dict[str, Column]) -> Column:
 
 class Domain:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark = tune(spark)
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
@@ -264,12 +252,15 @@ class Domain:
 
     @cached_property
     def mapped_files(self) -> DataFrame:
-        """Files with the mapping given by hand for their layout."""
-        mapping = None
+        """Files with their headers and the mapping given by hand for their layout."""
+        mapping, headers = None, None
         for layout, fields in LAYOUTS.items():
+            test = F.col("layout") == layout
             m = _string_map({TARGET_OF[raw]: F.lit(header) for raw, header in fields.items()})
-            mapping = F.when(F.col("layout") == layout, m) if mapping is None else mapping.when(F.col("layout") == layout, m)
-        return self.files.withColumn("mapping", mapping)
+            h = F.array(*[F.lit(header) for header in fields.values()])
+            mapping = F.when(test, m) if mapping is None else mapping.when(test, m)
+            headers = F.when(test, h) if headers is None else headers.when(test, h)
+        return self.files.withColumns({"mapping": mapping, "headers": headers})
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -315,25 +306,22 @@ class Domain:
 
     @cached_property
     def sheets(self) -> DataFrame:
-        """Sheet rows: the headers of the file's layout and a header -> cell map."""
+        """Sheet rows: the cells in the column order of the file's layout."""
         layout = F.col("file_id") % 3
-        headers, cells = None, None
+        values = None
         for number, fields in LAYOUTS.items():
-            h = F.array(*[F.lit(x) for x in fields.values()])
-            c = _string_map({header: F.col(raw) for raw, header in fields.items()})
-            test = layout == number
-            headers = F.when(test, h) if headers is None else headers.when(test, h)
-            cells = F.when(test, c) if cells is None else cells.when(test, c)
-        return self.raw.select("file_id", "item_id", "line_no", headers.alias("headers"), cells.alias("cells"))
+            v = F.array(*[F.col(raw) for raw in fields])
+            values = F.when(layout == number, v) if values is None else values.when(layout == number, v)
+        return self.raw.select("file_id", "item_id", "line_no", values.alias("values"))
+
+    @cached_property
+    def file_headers(self) -> DataFrame:
+        return self.mapped_files.select("file_id", "headers")
 
     @cached_property
     def headers(self) -> DataFrame:
         """Headers of every file by position."""
-        headers = None
-        for number, fields in LAYOUTS.items():
-            h = F.array(*[F.lit(x) for x in fields.values()])
-            headers = F.when(F.col("layout") == number, h) if headers is None else headers.when(F.col("layout") == number, h)
-        return self.files.select("file_id", F.posexplode(headers).alias("pos", "header"))
+        return header_table(self.file_headers)
 
     @cached_property
     def logins(self) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from partloom.operators import analytics, corrections, reuse, sessions
 from partloom.operators.classify import classify_by_similarity, classify_existing
+from partloom.operators.mapping import file_verdicts
 from partloom.plans import references as reference_plans
 from partloom.plans.enrich import enrich
-from partloom.plans.process import process_files
+from partloom.plans.process import file_status, process_files
 from partloom.plans.review import correct, review_candidates
 from partloom.plans.standardize import standardize
 from partloom.session import scratch_path
@@ -375,8 +376,8 @@ def process(d):
     "SELECT DISTINCT file_id, CASE WHEN file_id IN (SELECT file_id FROM bad_files) THEN 'failed' ELSE 'completed' END AS status FROM standard",
     "bad_files",
 )
-def file_status(d):
-    return process_files(d.sheets, d.mapped_files, d.sides, cut=False).status.select("file_id", "status")
+def status_of_files(d):
+    return file_status(file_verdicts(_standard(d))).select("file_id", "status")
 
 
 @query("Q5_file_analytics_of_run", _analytics_joined("processed_enriched"), "processed_enriched")

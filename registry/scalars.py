@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from partloom.functions import money, scope, text, vectors
 from partloom.operators import corrections, lookup, mapping, sessions
+from partloom.sources.sheets import row_maps
 from partloom.sources.side_tables import manufacturer_names
 from partloom.sources.sinks import default_description
 from registry import sqlx
 from registry.core import num, query
+from registry.domain import LAYOUTS
 
 
 @query(
@@ -209,8 +211,7 @@ _RAW_TEXT = sqlx.line_text(
 def line_text(d):
     from partloom.operators.classify import embedding_text
 
-    files = d.mapped_files.select("file_id", "mapping")
-    return mapping.apply_mapping(d.sheets.join(files, "file_id")).select("item_id", embedding_text().alias("text"))
+    return mapping.apply_mapping(d.sheets, d.mapped_files).select("item_id", embedding_text().alias("text"))
 
 
 @query("T4_stored_line_text", f"SELECT item_id, {sqlx.stored_text()} AS text FROM lines", "lines")
@@ -325,13 +326,10 @@ def stand_in(d):
 
 @query("T16_row_map", "SELECT item_id, raw_item AS item, raw_eau AS eau FROM raw", "raw")
 def row_map(d):
-    """Zip of header and cells, read back by the header of each layout."""
-    files = d.mapped_files.select("file_id", "mapping")
-    rows = d.sheets.select(
-        "file_id", "item_id", "headers", F.transform("headers", lambda h: F.element_at("cells", h)).alias("values")
-    )
-    zipped = rows.withColumn("cells", F.map_from_arrays("headers", "values")).join(files, "file_id")
-    return zipped.select("item_id", mapping.mapped_cell("ITEM").alias("item"), mapping.mapped_cell("EAU").alias("eau"))
+    """Zip of headers and cells, read back by the header each layout has for a field."""
+    maps = row_maps(d.sheets, d.file_headers)
+    names = {raw: [F.element_at("cells", f[raw]) for f in LAYOUTS.values()] for raw in ("raw_item", "raw_eau")}
+    return maps.select("item_id", F.coalesce(*names["raw_item"]).alias("item"), F.coalesce(*names["raw_eau"]).alias("eau"))
 
 
 @query("T18_category_path", "SELECT id, concat_ws(' > ', level1, level2) AS category FROM refs_plain", "refs_plain")

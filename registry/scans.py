@@ -42,7 +42,7 @@ def _written_sheets(d) -> str:
     "raw",
 )
 def read_sheets(d):
-    rows = sheets.read_sheets(d.spark, _written_sheets(d), max_columns=16)
+    rows = sheets.row_maps(*sheets.read_sheets(d.spark, _written_sheets(d), max_columns=16), file="file")
     names = {raw: [f[raw].strip() for f in LAYOUTS.values() if raw in f] for raw in _FIELDS}
     return rows.select(
         F.regexp_extract("file", r"file_id=(\d+)", 1).cast("bigint").alias("file_id"),
@@ -336,7 +336,7 @@ def from_json(d):
 
 
 def _samples(d):
-    return sheets.sample_rows(d.sheets).select("file_id", F.explode("cells").alias("header", "value"))
+    return sheets.sample_values(d.sheets, d.file_headers)
 
 
 _SAMPLE5 = "(SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY line_no) <= 5)"
@@ -399,8 +399,7 @@ def manual(d):
     "raw",
 )
 def apply(d):
-    mapped = mapping.apply_mapping(d.sheets.join(d.mapped_files.select("file_id", "mapping"), "file_id"))
-    return mapped.select(
+    return mapping.apply_mapping(d.sheets, d.mapped_files).select(
         "item_id", "raw_item", "raw_mpn", "raw_mfg", "raw_description", "raw_site", "raw_std_cost", "raw_eau", "raw_level3", "raw_global_code"
     )
 
@@ -422,7 +421,7 @@ def path(d):
 )
 def options(d):
     rows = d.raw.select("file_id", "item_id")
-    return mapping.with_file_options(rows, d.mapped_files).select("item_id", "auto_mode", "demand_lookup", "volume_multiplier")
+    return rows.join(mapping.file_options(d.mapped_files), "file_id").select("item_id", "auto_mode", "demand_lookup", "volume_multiplier")
 
 
 @query(
