@@ -12,12 +12,14 @@ from partloom.plans.enrich import enrich
 from partloom.plans.process import file_status, process_files
 from partloom.plans.review import correct, review_candidates
 from partloom.plans.standardize import standardize
-from partloom.session import scratch_path
+from partloom.session import scratch_path, written
 from partloom.sources.side_tables import crosses_by_mpn
 from partloom.streaming.sessions import session_stream
+from partloom.streaming.uploads import upload_stream
 from registry import sqlx
 from registry.core import num, query, sql_stamp, stamp
 from registry.relational import _LEVELS
+from registry.scans import written_sheets
 
 
 def _enriched(d):
@@ -304,6 +306,16 @@ def abandoned(d):
     return _shown(sessions.close_abandoned(sessions.sessions_from_events(d.logins), as_of))
 
 
+@query("ST4_upload_stream")
+def upload(d):
+    """All sheets land in a folder and are processed as a stream; each written CSV file is an upload."""
+    target, checkpoint = scratch_path(d.spark, "uploads"), scratch_path(d.spark, "upload-checkpoint")
+    stream = upload_stream(d.spark, written_sheets(d), target, lambda: d.sides, checkpoint, max_columns=16)
+    stream.trigger(availableNow=True).start().awaitTermination()
+    columns = ["item_id", "item", "mfg_partno", "description", "eau", "commodity", "scope"]
+    return d.spark.read.parquet(f"{target}/lines").select(*columns)
+
+
 @query(
     "ST5_latest_status",
     f"SELECT user_id AS file_id, {sql_stamp('ts')} AS ts, event_type AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) = 1",
@@ -346,7 +358,7 @@ def existing(d):
 
 @query("Q3_classify_by_similarity", "SELECT item_id, commodity, scope FROM searched", "searched")
 def searched(d):
-    lines = _standard(d).where(F.col("path") == "similarity")
+    lines = written(_standard(d).where(F.col("path") == "similarity"), "standard")
     return classify_by_similarity(lines, d.refs, crosses_by_mpn(d.crosses)).select("item_id", "commodity", "scope")
 
 

@@ -17,7 +17,7 @@ from registry.domain import LAYOUTS, enriched_sql
 _FIELDS = ["raw_item", "raw_description", "raw_std_cost", "raw_eau"]
 
 
-def _written_sheets(d) -> str:
+def written_sheets(d) -> str:
     """Sheet CSV files of all lines in a new folder: a header row and the columns of the file's layout."""
     path = scratch_path(d.spark, "sheets")
     for number, fields in LAYOUTS.items():
@@ -42,7 +42,7 @@ def _written_sheets(d) -> str:
     "raw",
 )
 def read_sheets(d):
-    rows = sheets.row_maps(*sheets.read_sheets(d.spark, _written_sheets(d), max_columns=16), file="file")
+    rows = sheets.row_maps(*sheets.read_sheets(d.spark, written_sheets(d), max_columns=16), file="file")
     names = {raw: [f[raw].strip() for f in LAYOUTS.values() if raw in f] for raw in _FIELDS}
     return rows.select(
         F.regexp_extract("file", r"file_id=(\d+)", 1).cast("bigint").alias("file_id"),
@@ -58,7 +58,7 @@ def read_sheets(d):
 )
 def sheet_files(d):
     """Listing with the format check; every written sheet is readable."""
-    found = sheets.sheet_files(d.spark, _written_sheets(d)).where(~F.col("file").contains("_SUCCESS"))
+    found = sheets.sheet_files(d.spark, written_sheets(d)).where(~F.col("file").contains("_SUCCESS"))
     file_id = F.regexp_extract("file", r"file_id=(\d+)", 1).cast("bigint")
     return found.groupBy((file_id % 3).cast("int").alias("layout")).agg(
         F.min(F.col("error_message").isNull()).alias("readable")
