@@ -178,6 +178,15 @@ def level1_summary(enriched: DataFrame, references: DataFrame) -> DataFrame:
     )
 
 
+def ranked_levels(summary: DataFrame) -> DataFrame:
+    """Groups of ``level1_summary`` by total EAR, largest first, without the totals row.
+
+    A file has as many groups as the catalogue has level 1 values.
+    """
+    order = Window.partitionBy("file_id").orderBy(F.desc("total_ear"), "level1")
+    return summary.where(F.col("band").isNotNull()).withColumn("rank", F.row_number().over(order))
+
+
 def lines_per_commodity(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file_id", "commodity").agg(F.count("*").alias("lines"))
 

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions import rules
+from partloom.functions.text import is_blank
 from partloom.operators.topk import first_lines
 
 SEARCHED = ["global_code", "level1", "level2", "level3", "level3_expanded", "typical_mpns", "keyword", "mfr"]
 
 
-def _contains_any(columns: list[str], query: str):
+def _contains_any(columns: list[str], query: str) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(f"%{query}%"), F.lit(False)) for c in columns])
 
 
@@ -66,3 +67,23 @@ def files_for(files: DataFrame, viewer_id: int, admin: bool) -> DataFrame:
 def with_owner(owned: DataFrame, users: DataFrame) -> DataFrame:
     """Files or sessions with their user."""
     return owned.join(users, "user_id")
+
+
+def file_problems() -> Column:
+    """Reasons a file row is invalid; empty when it is fine."""
+    return F.array_compact(
+        F.array(
+            F.when(is_blank(F.col("original_filename")), F.lit("filename missing")),
+            F.when(~F.coalesce(F.col("status").isin(rules.FILE_STATUSES), F.lit(False)), F.lit("status unknown")),
+        )
+    )
+
+
+def session_problems() -> Column:
+    reason = F.col("sign_out_reason")
+    return F.array_compact(
+        F.array(
+            F.when(F.col("started_at").isNull(), F.lit("start missing")),
+            F.when(reason.isNotNull() & ~reason.isin(rules.SIGN_OUT_REASONS), F.lit("reason unknown")),
+        )
+    )

@@ -23,14 +23,17 @@ def lookup(df: DataFrame, side: DataFrame, keys: dict[str, Column], row_id: str
     """Left join on computed keys against a side that is unique in the named key columns.
 
     ``keys`` maps each key column of ``side`` to the expression looked up. The first key decides whether a
-    row can match; rows where it is null get a spread number instead, which no side row carries.
+    row can match; rows where it is null get a spread number instead, which no side row carries. The number
+    of a side row is always 0, but computed from its key: as a constant the optimizer would take it out of
+    the join keys, and the null keys would meet again.
     """
     first, value = next(iter(keys.items()))
     spread = F.pmod(F.xxhash64(row_id), F.lit(NULL_KEY_SPREAD)).cast("int") if row_id else F.lit(1)
     left = df.withColumns({f"_k_{k}": v for k, v in keys.items()}).withColumn(
         "_spread", F.when(value.isNull(), spread + 1).otherwise(0)
     )
-    right = side.withColumnsRenamed({k: f"_k_{k}" for k in keys}).withColumn("_spread", F.lit(0))
+    zero = F.pmod(F.hash(f"_k_{first}"), F.lit(1))
+    right = side.withColumnsRenamed({k: f"_k_{k}" for k in keys}).withColumn("_spread", zero)
     joined = left.join(right, [f"_k_{k}" for k in keys] + ["_spread"], "left")
     return joined.drop("_spread", *[f"_k_{k}" for k in keys])
 
@@ -96,23 +99,24 @@ def quote_columns(item: Column, mpn: Column) -> dict[str, Column]:
 
 
 def item_facts(lines: DataFrame, quotes: DataFrame, demand: DataFrame) -> DataFrame:
-    """One row per (file, item): its first line, its latest quote, its demand and market price.
+    """One row per (file, item): its first line number, its latest quote, its demand and market price.
 
     Lookups by item run once per distinct item instead of once per line. The first line comes from a
-    partial aggregate, so an item on a third of all lines never gathers in one task.
+    partial hash aggregate, so an item on a third of all lines never gathers in one task. Line numbers are
+    unique within a file.
     """
-    items = lines.groupBy("file_id", "item").agg(F.min_by("item_id", "line_no").alias("first_item_id"))
+    items = lines.groupBy("file_id", "item").agg(F.min("line_no").alias("first_line_no"))
     quoted = lookup(
         items,
         quotes.withColumnRenamed("item", "item_key").withColumn("item_quoted", F.lit(True)),
         {"item_key": F.col("item")},
-        row_id="first_item_id",
+        row_id="first_line_no",
     )
     facts = lookup(
         quoted,
         demand.withColumnRenamed("item", "item_key"),
         {"item_key": F.when(is_present(F.col("item")), strip(F.col("item")))},
-        row_id="first_item_id",
+        row_id="first_line_no",
     )
     return facts.withColumn("item_quoted", F.coalesce("item_quoted", F.lit(False)))
 

@@ -28,7 +28,7 @@ def enrich(lines: DataFrame, quotes: DataFrame, aml: DataFrame, crosses: DataFra
     priced = joined.withColumn("total_demand", demand).withColumns(
         {
             "duplication_flag": F.when(
-                F.col("item_id") == F.col("first_item_id"), rules.FIRST_FLAG
+                F.col("line_no") == F.col("first_line_no"), rules.FIRST_FLAG
             ).otherwise(rules.REPEAT_FLAG),
             "ear": ear(F.col("total_demand"), F.col("min_price")),
             "ear_fallback": ear_uses_fallback(F.col("total_demand"), F.col("min_price")),
@@ -38,4 +38,4 @@ def enrich(lines: DataFrame, quotes: DataFrame, aml: DataFrame, crosses: DataFra
     quoted = F.coalesce(F.col("previously_quoted") == rules.QUOTED, F.lit(False))
     return priced.withColumns(
         {"ear_status": ear_status(F.col("ear")), "final_scope": override(F.col("scope"), quoted)}
-    ).drop("first_item_id", "log_date", "quote_number", "quote_mpn")
+    ).drop("first_line_no", "log_date", "quote_number", "quote_mpn")

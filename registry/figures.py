@@ -119,6 +119,19 @@ def level1(d):
     return analytics.level1_summary(_enriched(d), d.refs_plain).withColumns({c: num(c) for c in money})
 
 
+@query(
+    "K6_ranked_levels",
+    "SELECT file_id, level1, row_number() OVER (PARTITION BY file_id ORDER BY total_ear DESC, level1) AS rank FROM ("
+    + _level1_sql()
+    + ") WHERE band IS NOT NULL",
+    "enriched",
+    "ref_last",
+)
+def ranked_levels(d):
+    ranked = analytics.ranked_levels(analytics.level1_summary(_enriched(d), d.refs_plain))
+    return ranked.select("file_id", "level1", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("A9_lines_per_commodity", "SELECT file_id, commodity, count(*) AS lines FROM lines GROUP BY 1, 2", "lines")
 def per_commodity(d):
     return analytics.lines_per_commodity(d.lines)

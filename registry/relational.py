@@ -453,9 +453,9 @@ def raw_scopes(d):
     "lines",
 )
 def duplicate_flag(d):
-    firsts = d.lines.groupBy("file_id", "item").agg(F.min_by("item_id", "line_no").alias("first_item_id"))
+    firsts = d.lines.groupBy("file_id", "item").agg(F.min("line_no").alias("first_line_no"))
     joined = lookup.with_item_facts(d.lines, firsts)
-    first = F.col("item_id") == F.col("first_item_id")
+    first = F.col("line_no") == F.col("first_line_no")
     return joined.select("item_id", F.when(first, rules.FIRST_FLAG).otherwise(rules.REPEAT_FLAG).alias("flag"))
 
 

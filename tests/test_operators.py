@@ -99,7 +99,7 @@ def test_one_item_on_most_lines_has_one_first_line(spark):
     quotes = side_tables.latest_quotes(empty(spark, "item string, log_date timestamp, quote_number string, quote_mpn string"))
     demand = side_tables.demand_by_item(empty(spark, "item string, total_demand bigint, min_price decimal(18,4)"))
     joined = with_item_facts(lines, item_facts(lines, quotes, demand))
-    first = joined.where(F.col("item_id") == F.col("first_item_id")).select("item_id").collect()
+    first = joined.where(F.col("line_no") == F.col("first_line_no")).select("item_id").collect()
     assert joined.count() == 3000 and sorted(r.item_id for r in first) == ["a0", "a1"]
 
 
@@ -219,3 +219,21 @@ def test_uploads_are_processed_once(spark, tmp_path):
     lines = spark.read.parquet(f"{target}/lines")
     assert lines.count() == 4
     assert lines.where("item = 'X1'").first().commodity in {r[4] for r in REFERENCES}
+
+
+def test_null_keys_are_spread_over_the_shuffle(spark):
+    """Most lines without a part number must not meet in one partition of the join."""
+    from partloom.operators.lookup import lookup
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines = spark.range(4000).select(F.col("id").cast("string").alias("item_id"), F.when(F.col("id") % 10 == 0, F.col("id")).alias("mpn"))
+        side = spark.range(0, 4000, 20).select(F.col("id").alias("k"), F.lit("hit").alias("v"))
+        out = lookup(lines, side, {"k": F.col("mpn")})
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert out.where("v = 'hit'").count() == 200 and out.count() == 4000
+        assert len(sizes) == 8 and max(sizes) < 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
