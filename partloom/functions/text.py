@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -85,19 +86,33 @@ def _may_rewrite(c: Column) -> Column:
     return seen & c.rlike(rf"(?imd)\b(?:{words})\b|(?:^|,{_ASCII_SPACE}*)(?:{listed})\b|{plain}")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value built once, however often the body names it.
+
+    A lambda of its own also keeps a long chain out of the generated method, which the JIT would refuse.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def expand_description(c: Column) -> Column:
     """Spell out component abbreviations; blank becomes the empty string.
 
-    The rule chain sits in a lambda of its own: inlined, its generated method is too long for the JIT.
+    A rule's pattern runs only on texts that contain the letters of the rule.
     """
 
     def step(acc: Column, rule: tuple[str, str, str]) -> Column:
-        return F.regexp_replace(acc, *_rewrite(*rule))
+        pattern, new = _rewrite(*rule)
+        stem = _stem(rule[1])
+        if not stem:
+            return F.regexp_replace(acc, pattern, new)
+        return _bound(
+            acc, lambda x: F.when(F.contains(F.upper(x), F.lit(stem)), F.regexp_replace(x, pattern, new)).otherwise(x)
+        )
 
     def rewritten(text: Column) -> Column:
         return F.when(_may_rewrite(text), reduce(step, rules.DESCRIPTION_REWRITES, text)).otherwise(text)
 
-    return F.when(is_blank(c), F.lit("")).otherwise(strip(F.get(F.transform(F.array(c), rewritten), F.lit(0))))
+    return F.when(is_blank(c), F.lit("")).otherwise(strip(_bound(c, rewritten)))
 
 
 def expansion_is_stable(c: Column) -> Column:
