@@ -44,6 +44,7 @@ class TokenTable(dict):
     def __init__(self, facts, limit: int = 200_000):
         super().__init__()
         self.facts, self.limit, self.rows = facts, limit, []
+        self._made: np.ndarray | None = None
 
     def __missing__(self, token: bytes) -> int:
         row = len(self.rows)
@@ -54,10 +55,19 @@ class TokenTable(dict):
     def codes(self, tokens: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
+    def table(self, dtype) -> np.ndarray:
+        """The facts of all tokens so far; only those of new tokens are converted."""
+        made = self._made if self._made is not None else np.empty(0, dtype)
+        if len(made) < len(self.rows):
+            made = np.concatenate([made, np.array(self.rows[len(made) :], dtype)])
+        self._made = made
+        return made
+
     def trim(self) -> None:
         if len(self.rows) > self.limit:
             self.clear()
             self.rows.clear()
+            self._made = None
 
 
 def hash64(token: bytes) -> int:

@@ -62,3 +62,51 @@ o AS (
 )
 SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN before + size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM o
 """
+
+URLLISTS = r"""
+WITH c AS (
+  SELECT page_id, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)', 1), '[.]+$', ''), '') AS host,
+    DATE '2024-01-01' + ((page_id * 7919) % 365)::INT AS fetched_on
+  FROM pages
+),
+hosts AS (SELECT DISTINCT host FROM c WHERE host IS NOT NULL),
+sites AS (SELECT entry, md5(entry) AS h FROM (SELECT DISTINCT regexp_replace(host, '^(www|m|blog)[.]', '') AS entry FROM hosts)),
+d AS (
+  SELECT entry, CASE WHEN ('0x' || substr(h, 7, 1))::INT < 8 THEN 'spam' ELSE 'adult' END AS list, ('0x' || substr(h, 3, 4))::INT % 365 AS first,
+    ('0x' || substr(h, 10, 1))::INT AS d10, ('0x' || substr(h, 11, 1))::INT AS d11, ('0x' || substr(h, 8, 2))::INT % 120 AS stay
+  FROM sites WHERE ('0x' || substr(h, 1, 2))::INT < 96
+),
+log AS (
+  SELECT list, 'domain' AS kind, entry, 1 AS onn, first AS day FROM d
+  UNION ALL SELECT list, 'domain', entry, 0, first + 1 + stay FROM d WHERE d10 < 10
+  UNION ALL SELECT list, 'domain', entry, 1, first + 200 FROM d WHERE d11 < 4
+  UNION ALL SELECT 'phish', 'host', host, 1, ('0x' || substr(md5(host), 3, 4))::INT % 365 FROM hosts WHERE ('0x' || substr(md5(host), 1, 2))::INT < 48
+),
+states AS (SELECT list, kind, entry, DATE '2024-01-01' + day::INT AS dated, min(onn) AS onn FROM log GROUP BY ALL),
+pairs AS (
+  SELECT DISTINCT c.host, c.fetched_on, s.list, s.kind, s.entry
+  FROM (SELECT DISTINCT host, fetched_on FROM c WHERE host IS NOT NULL) c JOIN (SELECT DISTINCT list, kind, entry FROM states) s
+    ON (s.kind = 'host' AND s.entry = c.host) OR (s.kind = 'domain' AND (s.entry = c.host OR ends_with(c.host, '.' || s.entry)))
+),
+hits AS (
+  SELECT p.host, p.fetched_on, p.list FROM pairs p ASOF JOIN states s
+    ON p.list = s.list AND p.kind = s.kind AND p.entry = s.entry AND p.fetched_on >= s.dated
+  WHERE s.onn = 1
+),
+named AS (SELECT host, fetched_on, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM hits GROUP BY ALL)
+SELECT c.page_id, c.host, c.fetched_on, n.lists, n.lists IS NOT NULL AS blocked FROM c LEFT JOIN named n USING (host, fetched_on)
+"""
+
+SNAPSHOTS = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, list({'role': role, 'text': text} ORDER BY place) AS turns FROM p GROUP BY conv_id),
+heads AS (SELECT DISTINCT turns[1:k] AS head FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM c)),
+kept AS (
+  SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_equal, turns FROM c
+  WHERE NOT EXISTS (SELECT 1 FROM heads WHERE heads.head = c.turns) GROUP BY n_turns, turns
+)
+SELECT k.conv_id, ((place - 1) // 256)::BIGINT AS part, k.n_turns::BIGINT AS n_turns, k.n_equal,
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+FROM kept k JOIN p USING (conv_id) GROUP BY k.conv_id, part, k.n_turns, k.n_equal
+"""
