@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partloom.functions import rules
-from partloom.functions.text import is_present, strip
+from partloom.functions.text import bound, is_present, strip
 
-PRICE_TYPE = "decimal(18,4)"
+# Prices are kept as written up to ten decimals; passive parts cost fractions of a cent. Only EAR is rounded, once.
+PRICE_TYPE = "decimal(28,10)"
 EAR_TYPE = "decimal(38,2)"
 PRICE_COLUMNS = ["std_cost", "last_purchase_price", "last_po"]
 
@@ -24,7 +25,7 @@ def clean_money(c: Column) -> Column:
     plain = F.when(F.translate(c, "0123456789.-", "") == "", c.try_cast(PRICE_TYPE))
     kept = F.regexp_replace(c, r"[^0-9.\-]", "")
     head = F.regexp_extract(kept, r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", 0)
-    cleaned = F.when(head == "", F.lit(0).cast(PRICE_TYPE)).otherwise(head.try_cast(PRICE_TYPE))
+    cleaned = bound(head, lambda h: F.when(h == "", F.lit(0).cast(PRICE_TYPE)).otherwise(h.try_cast(PRICE_TYPE)))
     return F.when(c.isNotNull(), F.coalesce(plain, cleaned))
 
 
@@ -44,12 +45,13 @@ def clean_quantity(c: Column) -> Column:
     text = strip(c)
     plain = F.when(F.translate(text, "0123456789", "") == "", text.try_cast("bigint"))
     head = F.regexp_replace(F.regexp_extract(text, r"^[+-]?[0-9]+(?:_[0-9]+)*", 0), "_", "")
-    cleaned = F.when(head == "", F.lit(0).cast("bigint")).otherwise(head.try_cast("bigint"))
+    cleaned = bound(head, lambda h: F.when(h == "", F.lit(0).cast("bigint")).otherwise(h.try_cast("bigint")))
     return F.when(is_present(c), F.coalesce(plain, cleaned))
 
 
 def apply_multiplier(quantity: Column, multiplier: Column) -> Column:
-    return F.when(multiplier > 1, quantity * multiplier).otherwise(quantity)
+    """Multiplied quantity; null where it overflows, which makes the line invalid instead of ending the run."""
+    return F.when(multiplier > 1, F.try_multiply(quantity, multiplier.cast("bigint"))).otherwise(quantity)
 
 
 def positive(c: Column) -> Column:
@@ -71,7 +73,11 @@ def ear(total_demand: Column, min_price: Column) -> Column:
     """Quantity times price with fallbacks: EAU then total demand; own lowest price then market minimum."""
     quantity = F.coalesce(positive(F.col("eau")), positive(total_demand))
     price = F.coalesce(lowest_price(), positive(min_price))
-    return F.round(quantity * price, 2).cast(EAR_TYPE)
+    # Whole and fraction apart: each product is exact, and the whole part does not change the rounding.
+    exact, count = price.try_cast(PRICE_TYPE), quantity.cast("decimal(19,0)")
+    whole = F.floor(exact).cast("decimal(18,0)")
+    part = (exact - whole).cast("decimal(11,10)")
+    return F.try_add(count * whole, F.round(count * part, 2)).try_cast(EAR_TYPE)
 
 
 def ear_uses_fallback(total_demand: Column, min_price: Column) -> Column:

@@ -86,7 +86,7 @@ def _may_rewrite(c: Column) -> Column:
     return seen & c.rlike(rf"(?imd)\b(?:{words})\b|(?:^|,{_ASCII_SPACE}*)(?:{listed})\b|{plain}")
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value built once, however often the body names it.
 
     A lambda of its own also keeps a long chain out of the generated method, which the JIT would refuse.
@@ -105,14 +105,14 @@ def expand_description(c: Column) -> Column:
         stem = _stem(rule[1])
         if not stem:
             return F.regexp_replace(acc, pattern, new)
-        return _bound(
+        return bound(
             acc, lambda x: F.when(F.contains(F.upper(x), F.lit(stem)), F.regexp_replace(x, pattern, new)).otherwise(x)
         )
 
     def rewritten(text: Column) -> Column:
         return F.when(_may_rewrite(text), reduce(step, rules.DESCRIPTION_REWRITES, text)).otherwise(text)
 
-    return F.when(is_blank(c), F.lit("")).otherwise(strip(_bound(c, rewritten)))
+    return F.when(is_blank(c), F.lit("")).otherwise(strip(bound(c, rewritten)))
 
 
 def expansion_is_stable(c: Column) -> Column:

@@ -155,8 +155,14 @@ def parse_decision(response: Column) -> Column:
 
 
 def parsed_decisions(responses: DataFrame) -> DataFrame:
-    """``item_id`` and the decision columns; ``responses`` holds ``item_id, response_text``."""
-    return responses.select("item_id", parse_decision(F.col("response_text")).alias("d")).select("item_id", "d.*")
+    """One decision per ``item_id``; ``responses`` holds ``item_id, response_text`` and, if known, ``response_no``.
+
+    Of several responses for a line the last by number counts, without numbers (or among equals) the greatest text.
+    """
+    number = F.col("response_no") if "response_no" in responses.columns else F.lit(None).cast("bigint")
+    answered = responses.where(F.col("item_id").isNotNull())
+    last = answered.groupBy("item_id").agg(F.max(F.struct(number.alias("n"), F.col("response_text").alias("t"))).alias("r"))
+    return last.select("item_id", parse_decision(F.col("r.t")).alias("d")).select("item_id", "d.*")
 
 
 def is_applied() -> Column:

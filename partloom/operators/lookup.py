@@ -86,10 +86,11 @@ def commodity_batch(names: DataFrame, references: DataFrame, column: str = "leve
 def quote_columns(item: Column, mpn: Column) -> dict[str, Column]:
     """Quote answer of a line after the quotes were joined by item.
 
-    A blank item has no answer; an item that merely repeats the part number is never looked up.
+    A blank item has no answer; an item that merely repeats the part number is never looked up. A quote counts
+    whether or not it is dated.
     """
     fallback = is_present(mpn) & (item == mpn)
-    usable = F.col("log_date").isNotNull() & ~F.coalesce(fallback, F.lit(False))
+    usable = F.coalesce(F.col("item_quoted"), F.lit(False)) & ~F.coalesce(fallback, F.lit(False))
     return {
         "previously_quoted": F.when(is_present(item), F.when(usable, rules.QUOTED).otherwise(rules.NOT_QUOTED)),
         "quote_date": F.when(usable, F.col("log_date")),

@@ -11,6 +11,7 @@ from partloom.functions import rules
 from partloom.functions.money import apply_multiplier, clean_money, clean_quantity
 from partloom.functions.scope import grade_of
 from partloom.functions.text import is_blank, is_present, presence, squeeze_key, strip
+from partloom.operators.lookup import lookup
 from partloom.sources.sheets import last_position
 from partloom.sources.side_tables import catalogue_values
 from partloom.sources.sinks import default_description
@@ -214,13 +215,8 @@ def item_or_mpn(item: Column, mpn: Column) -> Column:
 def standardize_names(lines: DataFrame, names: DataFrame, column: str = "mfg_name", trimmed: bool = False) -> DataFrame:
     """Standard manufacturer name by exact key; an unknown name stays as it is."""
     key = strip(F.col(column)) if trimmed else F.col(column)
-    hit = names.withColumnRenamed("original_name", "alias_key")
-    return (
-        lines.withColumn("alias_key", key)
-        .join(hit, "alias_key", "left")
-        .withColumn(column, F.coalesce("standardized_name", column))
-        .drop("alias_key", "standardized_name")
-    )
+    hit = names.select(F.col("original_name").alias("alias_key"), "standardized_name")
+    return lookup(lines, hit, {"alias_key": key}).withColumn(column, F.coalesce("standardized_name", column)).drop("standardized_name")
 
 
 def standard_columns(mapped: DataFrame) -> DataFrame:

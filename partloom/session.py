@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,12 +42,15 @@ def build_session(app_name: str = "partloom", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    Only when the cluster names none (tests, a laptop) a temporary folder stands in for it.
+    Only a local session without one (tests, a laptop) gets a temporary folder; on a cluster that would be a folder
+    of one machine, so it is an error.
     """
     folder = spark.conf.get(CHECKPOINT_DIR_CONF, None)
     if not folder:
         folder = spark.sparkContext.getConf().get(CHECKPOINT_DIR_CONF)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_DIR_CONF} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="partloom-")
         spark.conf.set(CHECKPOINT_DIR_CONF, folder)
     return folder
@@ -69,4 +75,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    for open_list in _made:
+        open_list.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_made: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables ``written`` inside the block when it ends; its results must be stored by then."""
+    paths: list[str] = []
+    _made.append(paths)
+    try:
+        yield
+    finally:
+        _made.remove(paths)
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever store its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions import rules
+from partloom.functions.money import PRICE_TYPE
 from partloom.functions.text import is_present, squeeze_key
 
 CROSS_COLUMNS = ["cross_ref_mpn", "supplier_pn", "house_mpn", "house_cost", "cross_ref_mfg"]
@@ -60,7 +61,7 @@ def crosses_by_mpn(crosses: DataFrame) -> DataFrame:
 
 def cheapest_crosses(crosses: DataFrame, grade: str) -> DataFrame:
     """Cheapest row per (part number, supplier part, manufacturer); no cost counts as cheapest."""
-    cost = F.coalesce(F.col("house_cost"), F.lit(-(10**13)).cast("decimal(18,4)"))
+    cost = F.coalesce(F.col("house_cost"), F.lit(-(10**13)).cast(PRICE_TYPE))
     best = F.min(F.struct(cost.alias("sort_cost"), F.col("house_mpn"), F.col("house_cost"))).alias("best")
     return (
         crosses.where((F.col("component_grade") == grade) & is_present(F.col("house_mpn")))

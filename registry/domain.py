@@ -20,7 +20,7 @@ from partloom.session import tune
 from partloom.sources.sheets import header_table
 from registry import sqlx
 
-PRICE = "decimal(18,4)"
+PRICE = "decimal(28,10)"
 
 
 def _dec(name: str, scale: int) -> Column:
@@ -202,7 +202,7 @@ class Domain:
         real = (F.col("o_orderpriority") == "1-URGENT") & (F.col("l_quantity") > 45)
         return orders.join(line, F.col("o_orderkey") == F.col("l_orderkey")).select(
             F.concat(F.when(real, "P").otherwise("Z"), "l_partkey").alias("item"),
-            F.col("o_orderdate").alias("log_date"),
+            F.when(F.col("l_partkey") % 3 != 0, F.col("o_orderdate")).alias("log_date"),
             F.concat(F.lit("SQ-"), "o_orderkey").alias("quote_number"),
             F.concat(F.lit("QM-"), "l_suppkey").alias("quote_mpn"),
         )
@@ -287,7 +287,7 @@ class Domain:
             .when(n != 4, price)
             .alias("raw_std_cost"),
             F.when(n == 7, F.concat(F.lit("-"), paid)).otherwise(F.concat(F.lit("€ "), paid)).alias("raw_last_purchase_price"),
-            F.when(n == 2, "n/a").when(n == 3, ".5").when(n == 4, "1.2.3").otherwise(F.lit("7.")).alias("raw_last_po"),
+            F.when(n == 2, "n/a").when(n == 3, ".5").when(n == 4, "1.2.3").when(n == 6, "0.00035").otherwise(F.lit("7.")).alias("raw_last_po"),
             F.when(n == 1, F.concat(quantity, F.lit(" pcs")))
             .when(n == 2, "1,000")
             .when(n == 3, "")
@@ -349,7 +349,7 @@ class Domain:
 
     @cached_property
     def responses(self) -> DataFrame:
-        """A model answer per (file, part): free text with a decision, in three shapes, some unreadable."""
+        """A model answer per line: free text with a decision, in three shapes, some unreadable; some came after another."""
         key = F.col("l_partkey")
         level = F.when(F.col("qty") > 40, "high").when(F.col("qty") > 20, "medium").otherwise("low")
         body = F.concat(
@@ -365,7 +365,10 @@ class Domain:
             .when(shape == 2, F.concat(F.lit("text ```json "), body, F.lit(" ```")))
             .otherwise(F.concat(F.lit("no decision for "), key))
         )
-        return self._base.select("item_id", "l_partkey", F.col("l_quantity").alias("qty")).select("item_id", text.alias("response_text"))
+        answered = self._base.select("item_id", "l_partkey", F.col("l_quantity").alias("qty")).select("item_id", "qty", text.alias("response_text"))
+        last = answered.select("item_id", "response_text", F.lit(2).alias("response_no"))
+        superseded = answered.where("qty % 3 = 0").select("item_id", F.lit('{"should_correct": true, "confidence_level": "high"}'), F.lit(1))
+        return last.union(superseded)
 
     @cached_property
     def sides(self) -> SideTables:
@@ -399,11 +402,11 @@ SELECT file_id, item_id, line_no,
   CASE WHEN l_returnflag = 'R' THEN 'Q-' || l_orderkey END AS quote_no,
   'P' || l_partkey AS item, mpn AS mfg_partno, s_name AS mfg_name, descr AS description,
   'SITE-' || s_nationkey AS site,
-  CASE WHEN l_tax > 0.06::DOUBLE THEN NULL ELSE CAST(retail AS DECIMAL(18,4)) END AS std_cost,
+  CASE WHEN l_tax > 0.06::DOUBLE THEN NULL ELSE CAST(retail AS DECIMAL(28,10)) END AS std_cost,
   CASE WHEN l_discount < 0.02::DOUBLE THEN NULL
-    ELSE CAST(retail * (1 - CAST(l_discount AS DECIMAL(10,2))) AS DECIMAL(18,4)) END AS last_purchase_price,
-  CASE l_returnflag WHEN 'A' THEN CAST(retail * (1 + CAST(l_tax AS DECIMAL(10,2))) AS DECIMAL(18,4))
-    WHEN 'N' THEN CAST(0 AS DECIMAL(18,4)) END AS last_po,
+    ELSE CAST(retail * (1 - CAST(l_discount AS DECIMAL(10,2))) AS DECIMAL(28,10)) END AS last_purchase_price,
+  CASE l_returnflag WHEN 'A' THEN CAST(retail * (1 + CAST(l_tax AS DECIMAL(10,2))) AS DECIMAL(28,10))
+    WHEN 'N' THEN CAST(0 AS DECIMAL(28,10)) END AS last_po,
   CASE WHEN l_quantity > 45 THEN NULL WHEN l_quantity > 35 THEN 0 ELSE CAST(l_quantity AS BIGINT) * 5 END AS eau,
   CASE WHEN l_linenumber = 1 THEN upper(p_name) ELSE p_name END AS commodity,
   CASE WHEN l_returnflag = 'A' THEN 'In scope' WHEN l_returnflag = 'N' THEN ' IN SCOPE'
@@ -436,7 +439,7 @@ FROM part GROUP BY p_type, p_name
 SELECT CASE WHEN tax >= 0.02::DOUBLE THEN (CASE WHEN p_size > 25 THEN 'M' ELSE 'X' END) || l_partkey END AS cross_ref_mpn,
   'S' || l_suppkey AS supplier_pn,
   CASE WHEN discount < 0.03::DOUBLE THEN NULL WHEN discount < 0.05::DOUBLE THEN '  ' ELSE 'H' || l_partkey || '-' || l_suppkey END AS house_mpn,
-  CASE WHEN tax < 0.07::DOUBLE THEN CAST(price AS DECIMAL(18,4)) END AS house_cost,
+  CASE WHEN tax < 0.07::DOUBLE THEN CAST(price AS DECIMAL(28,10)) END AS house_cost,
   'MFG' || (l_suppkey % 5) AS cross_ref_mfg,
   CASE WHEN ls = 'O' THEN 'AUTO' ELSE 'COMMERCIAL' END AS component_grade,
   CASE rf WHEN 'A' THEN 'ACTIVE' WHEN 'N' THEN ' active ' ELSE 'OBSOLETE' END AS status
@@ -457,7 +460,7 @@ FROM crosses WHERE cross_ref_mpn IS NOT NULL GROUP BY 1, 2
         (),
         """
 SELECT (CASE WHEN o_orderpriority = '1-URGENT' AND l_quantity > 45 THEN 'P' ELSE 'Z' END) || l_partkey AS item,
-  o_orderdate AS log_date, 'SQ-' || o_orderkey AS quote_number, 'QM-' || l_suppkey AS quote_mpn
+  CASE WHEN l_partkey % 3 <> 0 THEN o_orderdate END AS log_date, 'SQ-' || o_orderkey AS quote_number, 'QM-' || l_suppkey AS quote_mpn
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 """,
     ),
@@ -470,7 +473,7 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey
         (),
         """
 SELECT 'P' || p_partkey AS item, CASE WHEN p_size > 10 THEN CAST(p_size * 10 AS BIGINT) END AS total_demand,
-  CASE WHEN p_size <= 40 THEN CAST(CAST(p_retailprice AS DECIMAL(10,2)) * 0.9 AS DECIMAL(18,4)) END AS min_price
+  CASE WHEN p_size <= 40 THEN CAST(CAST(p_retailprice AS DECIMAL(10,2)) * 0.9 AS DECIMAL(28,10)) END AS min_price
 FROM part
 """,
     ),
@@ -499,7 +502,7 @@ SELECT file_id, item_id, line_no, 'Q-' || l_orderkey AS raw_quote_no,
   CASE l_linenumber WHEN 1 THEN '$' || retail WHEN 2 THEN retail || ' USD' WHEN 3 THEN ' ' WHEN 4 THEN NULL
     WHEN 5 THEN replace(CAST(retail AS VARCHAR), '.', ',') ELSE CAST(retail AS VARCHAR) END AS raw_std_cost,
   (CASE WHEN l_linenumber = 7 THEN '-' ELSE '€ ' END) || CAST(l_extendedprice AS DECIMAL(18,2)) AS raw_last_purchase_price,
-  CASE l_linenumber WHEN 2 THEN 'n/a' WHEN 3 THEN '.5' WHEN 4 THEN '1.2.3' ELSE '7.' END AS raw_last_po,
+  CASE l_linenumber WHEN 2 THEN 'n/a' WHEN 3 THEN '.5' WHEN 4 THEN '1.2.3' WHEN 6 THEN '0.00035' ELSE '7.' END AS raw_last_po,
   CASE l_linenumber WHEN 1 THEN CAST(l_quantity AS BIGINT) || ' pcs' WHEN 2 THEN '1,000' WHEN 3 THEN '' WHEN 4 THEN 'abc'
     WHEN 5 THEN '12.9' ELSE ' ' || CAST(l_quantity AS BIGINT) END AS raw_eau,
   p_type AS raw_level1,
@@ -546,11 +549,12 @@ FROM (SELECT vec_id, ref_id, round({sqlx.cosine('e.embedding', 'c.vec')}, 12) AS
 SELECT item_id, CASE CAST(l_quantity AS BIGINT) % 4
   WHEN 0 THEN 'Analysis.' || chr(10) || '```json' || chr(10) || body || chr(10) || '```' || chr(10) || 'end'
   WHEN 1 THEN 'plain ' || body || ' tail' WHEN 2 THEN 'text ```json ' || body || ' ```'
-  ELSE 'no decision for ' || l_partkey END AS response_text
+  ELSE 'no decision for ' || l_partkey END AS response_text, 2 AS response_no
 FROM (SELECT *, '{"should_correct": ' || (CASE WHEN l_quantity % 2 = 0 THEN 'true' ELSE 'false' END) ||
   ', "confidence_level": "' || (CASE WHEN l_quantity > 40 THEN 'high' WHEN l_quantity > 20 THEN 'medium' ELSE 'low' END) ||
   '", "current_assignment_correct": false, "recommended_commodity": "C' || (l_partkey % 7) ||
   '", "recommended_scope": "In scope", "reasoning": "r", "evidence": "e' || l_partkey || '"}' AS body FROM base)
+UNION ALL SELECT item_id, '{"should_correct": true, "confidence_level": "high"}', 1 FROM base WHERE l_quantity % 3 = 0
 """,
     ),
     "decisions": (
@@ -563,7 +567,7 @@ SELECT item_id,
   CASE WHEN j = '' THEN NULL ELSE json_extract_string(j, '$.recommended_commodity') END AS recommended_commodity,
   CASE WHEN j = '' THEN NULL ELSE json_extract_string(j, '$.recommended_scope') END AS recommended_scope
 FROM (SELECT item_id, CASE WHEN f <> '' THEN f ELSE regexp_extract(response_text, '(?s).*(\{.*\})', 1) END AS j
-  FROM (SELECT *, regexp_extract(response_text, '(?s)```json\s*(\{.*?\})\s*```', 1) AS f FROM responses))
+  FROM (SELECT *, regexp_extract(response_text, '(?s)```json\s*(\{.*?\})\s*```', 1) AS f FROM responses QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY response_no DESC) = 1))
 """,
     ),
 }

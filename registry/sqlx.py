@@ -48,8 +48,8 @@ def canonical(c: str) -> str:
 def money(c: str) -> str:
     head = rf"regexp_extract(regexp_replace({c}, '[^0-9.\-]', '', 'g'), '^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)')"
     return (
-        f"CASE WHEN {c} IS NULL THEN NULL WHEN {head} = '' THEN CAST(0 AS DECIMAL(18,4)) "
-        f"ELSE TRY_CAST({head} AS DECIMAL(18,4)) END"
+        f"CASE WHEN {c} IS NULL THEN NULL WHEN {head} = '' THEN CAST(0 AS DECIMAL(28,10)) "
+        f"ELSE TRY_CAST({head} AS DECIMAL(28,10)) END"
     )
 
 
