@@ -239,10 +239,11 @@ def standard_columns(mapped: DataFrame) -> DataFrame:
     )
 
 
-def line_problems() -> Column:
+def line_problems(too_wide: Column | None = None) -> Column:
     """Reasons a line is invalid; empty when it is fine.
 
-    Cleaned numbers are null only for an empty cell or a number beyond the column type.
+    Cleaned numbers are null only for an empty cell or a number beyond the column type. ``too_wide`` marks a record
+    with more cells than a sheet may have.
     """
     overflow = [
         F.when(F.col(f"raw_{c}").isNotNull() & F.col(c).isNull(), F.lit(f"{c} not a number"))
@@ -250,6 +251,7 @@ def line_problems() -> Column:
     ]
     return F.array_compact(
         F.array(
+            F.when(too_wide, F.lit("record too wide")) if too_wide is not None else F.lit(None).cast("string"),
             F.when(is_blank(F.col("item")), F.lit("item missing")),
             F.when(is_blank(F.col("description")), F.lit("description missing")),
             *overflow,

@@ -10,6 +10,7 @@ from partloom.functions import rules
 
 MAX_COLUMNS = 256
 _SHEET_EXTENSIONS = ["csv"]
+_NO_CELL = "\x00"
 
 
 def sheet_schema(max_columns: int = MAX_COLUMNS) -> T.StructType:
@@ -47,7 +48,8 @@ def _positioned(raw: DataFrame, max_columns: int) -> DataFrame:
     Splits of one file are ordered by their byte offset and records of one split by the running id, so the
     pair orders the whole file without a sort.
     """
-    values = F.array(*[F.col(f"c{i}") for i in range(max_columns)])
+    values = F.array(*[F.nullif(F.col(f"c{i}"), F.lit("")) for i in range(max_columns)])
+    too_wide = F.col("too_wide") if "too_wide" in raw.columns else F.lit(False)
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.struct(
@@ -55,6 +57,7 @@ def _positioned(raw: DataFrame, max_columns: int) -> DataFrame:
             F.monotonically_increasing_id().alias("record"),
         ).alias("position"),
         values.alias("values"),
+        too_wide.alias("too_wide"),
     )
 
 
@@ -73,25 +76,31 @@ def split_headers(raw: DataFrame, max_columns: int = MAX_COLUMNS) -> tuple[DataF
     rows = records.join(headers.select("file", "header_position"), "file").where(
         F.col("position") > F.col("header_position")
     )
-    return rows.select("file", "position", "values"), headers.select("file", "headers")
+    return rows.select("file", "position", "values", "too_wide"), headers.select("file", "headers")
 
 
 def read_sheets(
-    spark: SparkSession, path: str | list[str], max_columns: int = MAX_COLUMNS
+    spark: SparkSession, path: str | list[str], max_columns: int = MAX_COLUMNS, splittable: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows and headers of all CSV sheets below a path; every cell stays text.
+    """Rows and headers of all CSV sheets below a path; every cell stays text, an empty one is null.
 
-    Cells beyond ``max_columns`` would be lost, so such a record stops the run instead.
+    Quoted cells may hold line breaks, so a sheet is read by one task; ``splittable`` reads a huge sheet without such
+    cells by many. A record of more than ``max_columns`` cells is kept as far as they go and flagged ``too_wide``, which
+    fails its file.
     """
     raw = (
         spark.read.schema(sheet_schema(max_columns + 1))
         .option("header", "false")
         .option("escape", '"')
+        .option("multiLine", str(not splittable).lower())
+        # Cells that are not there stay null and empty ones do not, so the width of a record can be told.
+        .option("nullValue", _NO_CELL)
+        .option("emptyValue", "")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.[cC][sS][vV]")
         .csv(path)
     )
-    return split_headers(guard_width(raw, max_columns), max_columns)
+    return split_headers(raw.withColumn("too_wide", F.col(f"c{max_columns}").isNotNull()), max_columns)
 
 
 def row_maps(rows: DataFrame, headers: DataFrame, file: str = "file_id") -> DataFrame:
@@ -113,14 +122,6 @@ def last_position(headers: Column, header: Column) -> Column:
     return F.when(from_end > 0, (F.size(headers) - from_end).cast("int"))
 
 
-def guard_width(raw: DataFrame, max_columns: int) -> DataFrame:
-    beyond = F.col(f"c{max_columns}")
-    checked = F.when(beyond.isNull(), F.col("c0")).otherwise(
-        F.raise_error(F.lit(f"record wider than {max_columns} columns")).cast("string")
-    )
-    return raw.withColumn("c0", checked)
-
-
 def sample_rows(rows: DataFrame, file: str = "file_id", order: str = "line_no", n: int = rules.SAMPLE_ROWS) -> DataFrame:
     """First ``n`` data rows of every file; the limit per group is applied before the shuffle as well."""
     w = Window.partitionBy(file).orderBy(order)
