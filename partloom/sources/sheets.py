@@ -10,7 +10,7 @@ from partloom.functions import rules
 
 MAX_COLUMNS = 256
 _SHEET_EXTENSIONS = ["csv"]
-_NO_CELL = "\x00"
+_RECORD = "_record"
 
 
 def sheet_schema(max_columns: int = MAX_COLUMNS) -> T.StructType:
@@ -48,7 +48,7 @@ def _positioned(raw: DataFrame, max_columns: int) -> DataFrame:
     Splits of one file are ordered by their byte offset and records of one split by the running id, so the
     pair orders the whole file without a sort.
     """
-    values = F.array(*[F.nullif(F.col(f"c{i}"), F.lit("")) for i in range(max_columns)])
+    values = F.array(*[F.col(f"c{i}") for i in range(max_columns)])
     too_wide = F.col("too_wide") if "too_wide" in raw.columns else F.lit(False)
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
@@ -82,25 +82,30 @@ def split_headers(raw: DataFrame, max_columns: int = MAX_COLUMNS) -> tuple[DataF
 def read_sheets(
     spark: SparkSession, path: str | list[str], max_columns: int = MAX_COLUMNS, splittable: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows and headers of all CSV sheets below a path; every cell stays text, an empty one is null.
+    """Rows and headers of all CSV sheets below a path; every cell stays text.
 
     Quoted cells may hold line breaks, so a sheet is read by one task; ``splittable`` reads a huge sheet without such
     cells by many. A record of more than ``max_columns`` cells is kept as far as they go and flagged ``too_wide``, which
     fails its file.
     """
     raw = (
-        spark.read.schema(sheet_schema(max_columns + 1))
+        spark.read.schema(sheet_schema(max_columns).add(_RECORD, "string"))
         .option("header", "false")
         .option("escape", '"')
         .option("multiLine", str(not splittable).lower())
-        # Cells that are not there stay null and empty ones do not, so the width of a record can be told.
-        .option("nullValue", _NO_CELL)
-        .option("emptyValue", "")
+        .option("columnNameOfCorruptRecord", _RECORD)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.[cC][sS][vV]")
         .csv(path)
     )
-    return split_headers(raw.withColumn("too_wide", F.col(f"c{max_columns}").isNotNull()), max_columns)
+    return split_headers(raw.withColumn("too_wide", is_wide(F.col(_RECORD), max_columns)), max_columns)
+
+
+def is_wide(record: Column, max_columns: int) -> Column:
+    """Whether a record has more cells than allowed. The reader hands over the text of records that do not fit its
+    columns; separators outside quotes are counted."""
+    bare = F.regexp_replace(record, r'"(?:[^"]|"")*"', "")
+    return F.coalesce(F.length(bare) - F.length(F.translate(bare, ",", "")) >= max_columns, F.lit(False))
 
 
 def row_maps(rows: DataFrame, headers: DataFrame, file: str = "file_id") -> DataFrame:
