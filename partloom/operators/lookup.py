@@ -17,25 +17,22 @@ from partloom.functions.text import is_present, lookup_key, strip
 from partloom.sources.side_tables import references_by_name
 
 NULL_KEY_SPREAD = 1024
+_NO_KEY = "\x00no key "
 
 
 def lookup(df: DataFrame, side: DataFrame, keys: dict[str, Column], row_id: str | None = "item_id") -> DataFrame:
     """Left join on computed keys against a side that is unique in the named key columns.
 
-    ``keys`` maps each key column of ``side`` to the expression looked up. The first key decides whether a
-    row can match; rows where it is null get a spread number instead, which no side row carries. The number
-    of a side row is always 0, but computed from its key: as a constant the optimizer would take it out of
-    the join keys, and the null keys would meet again.
+    ``keys`` maps each key column of ``side`` to the text looked up. The first key decides whether a row can
+    match; where it is null, a marker with a spread number, which no side row carries, stands for it. The side is
+    joined on its own key columns, so one that was just aggregated by them is not shuffled again.
     """
     first, value = next(iter(keys.items()))
-    spread = F.pmod(F.xxhash64(row_id), F.lit(NULL_KEY_SPREAD)).cast("int") if row_id else F.lit(1)
-    left = df.withColumns({f"_k_{k}": v for k, v in keys.items()}).withColumn(
-        "_spread", F.when(value.isNull(), spread + 1).otherwise(0)
-    )
-    zero = F.pmod(F.hash(f"_k_{first}"), F.lit(1))
-    right = side.withColumnsRenamed({k: f"_k_{k}" for k in keys}).withColumn("_spread", zero)
-    joined = left.join(right, [f"_k_{k}" for k in keys] + ["_spread"], "left")
-    return joined.drop("_spread", *[f"_k_{k}" for k in keys])
+    spread = F.pmod(F.xxhash64(row_id), F.lit(NULL_KEY_SPREAD)).cast("string") if row_id else F.lit("")
+    looked_up = {**keys, first: F.coalesce(value, F.concat(F.lit(_NO_KEY), spread))}
+    left = df.withColumns({f"_k_{k}": v for k, v in looked_up.items()})
+    right = side.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    return left.join(right, [f"_k_{k}" for k in keys], "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def with_cross(lines: DataFrame, crosses: DataFrame) -> DataFrame:
@@ -51,18 +48,20 @@ def with_cross(lines: DataFrame, crosses: DataFrame) -> DataFrame:
     )
 
 
-def with_commodity(df: DataFrame, references: DataFrame, name: Column, by: Column | None = None) -> DataFrame:
+def with_commodity(
+    df: DataFrame, references: DataFrame, name: Column, by: Column | None = None, row_id: str = "item_id"
+) -> DataFrame:
     """Catalogue row of a commodity name as struct ``reference`` (null when unknown).
 
     ``by`` tells per row whether the name is a level 3 or a global code; without it all are level 3.
     """
     level3 = references_by_name(references).select("name_key", "reference", F.lit("level3").alias("name_kind"))
     if by is None:
-        return lookup(df, level3.drop("name_kind"), {"name_key": lookup_key(name)})
+        return lookup(df, level3.drop("name_kind"), {"name_key": lookup_key(name)}, row_id)
     codes = references_by_name(references, "global_code").select(
         "name_key", "reference", F.lit("global_code").alias("name_kind")
     )
-    return lookup(df, level3.unionByName(codes), {"name_key": lookup_key(name), "name_kind": by})
+    return lookup(df, level3.unionByName(codes), {"name_key": lookup_key(name), "name_kind": by}, row_id)
 
 
 def reference_scope(auto_mode: Column) -> Column:

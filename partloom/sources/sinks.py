@@ -53,14 +53,19 @@ def write_result_sheets(enriched: DataFrame, path: str, fmt: str = "parquet", he
     (writer.option("header", "true") if fmt == "csv" else writer).format(fmt).save(path)
 
 
+def _clustered(lines: DataFrame) -> DataFrame:
+    """Lines ranged by file: a task writes few files' folders, and a large file still spreads over several tasks."""
+    return lines.repartitionByRange(*[c for c in ("file_id", "line_no", "item_id") if c in lines.columns])
+
+
 def append_lines(lines: DataFrame, path: str) -> None:
-    lines.write.mode("append").partitionBy("file_id").parquet(path)
+    _clustered(lines).write.mode("append").partitionBy("file_id").parquet(path)
 
 
 def replace_files(lines: DataFrame, path: str) -> None:
     """Replace the stored lines of exactly the files in ``lines``; other files stay untouched."""
     (
-        lines.write.mode("overwrite")
+        _clustered(lines).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("file_id")
         .parquet(path)
