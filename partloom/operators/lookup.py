@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from partloom.functions import rules
 from partloom.functions.scope import resolve_scope
@@ -23,16 +24,23 @@ _NO_KEY = "\x00no key "
 def lookup(df: DataFrame, side: DataFrame, keys: dict[str, Column], row_id: str | None = "item_id") -> DataFrame:
     """Left join on computed keys against a side that is unique in the named key columns.
 
-    ``keys`` maps each key column of ``side`` to the text looked up. The first key decides whether a row can
-    match; where it is null, a marker with a spread number, which no side row carries, stands for it. The side is
-    joined on its own key columns, so one that was just aggregated by them is not shuffled again.
+    ``keys`` maps each key column of ``side`` to the expression looked up. The first key decides whether a row
+    can match. Where a text is null, a marker with a spread number, which no side row carries, stands for it; the side
+    is then joined on its own key columns, and one that was just aggregated by them is not shuffled again. For keys of
+    other types the number is a further join key. It is always 0 for a side row, but computed from its key: as a
+    constant the optimizer would take it out of the join keys, and the null keys would meet again.
     """
     first, value = next(iter(keys.items()))
-    spread = F.pmod(F.xxhash64(row_id), F.lit(NULL_KEY_SPREAD)).cast("string") if row_id else F.lit("")
-    looked_up = {**keys, first: F.coalesce(value, F.concat(F.lit(_NO_KEY), spread))}
-    left = df.withColumns({f"_k_{k}": v for k, v in looked_up.items()})
+    names = [f"_k_{k}" for k in keys]
+    spread = F.pmod(F.xxhash64(row_id), F.lit(NULL_KEY_SPREAD)).cast("int") if row_id else F.lit(1)
+    left = df.withColumns({f"_k_{k}": v for k, v in keys.items()})
     right = side.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    return left.join(right, [f"_k_{k}" for k in keys], "left").drop(*[f"_k_{k}" for k in keys])
+    if isinstance(left.schema[f"_k_{first}"].dataType, StringType):
+        marked = F.coalesce(f"_k_{first}", F.concat(F.lit(_NO_KEY), spread.cast("string")))
+        return left.withColumn(f"_k_{first}", marked).join(right, names, "left").drop(*names)
+    left = left.withColumn("_spread", F.when(F.col(f"_k_{first}").isNull(), spread + 1).otherwise(0))
+    right = right.withColumn("_spread", F.pmod(F.hash(f"_k_{first}"), F.lit(1)))
+    return left.join(right, [*names, "_spread"], "left").drop("_spread", *names)
 
 
 def with_cross(lines: DataFrame, crosses: DataFrame) -> DataFrame:
@@ -82,14 +90,15 @@ def commodity_batch(names: DataFrame, references: DataFrame, column: str = "leve
     )
 
 
-def quote_columns(item: Column, mpn: Column) -> dict[str, Column]:
+def quote_columns(item: Column, mpn: Column, quoted: Column | None = None) -> dict[str, Column]:
     """Quote answer of a line after the quotes were joined by item.
 
-    A blank item has no answer; an item that merely repeats the part number is never looked up. A quote counts
-    whether or not it is dated.
+    A blank item has no answer; an item that merely repeats the part number is never looked up. ``quoted`` tells
+    whether a quote was found; a quote counts whether or not it is dated. Without it the date tells.
     """
     fallback = is_present(mpn) & (item == mpn)
-    usable = F.coalesce(F.col("item_quoted"), F.lit(False)) & ~F.coalesce(fallback, F.lit(False))
+    found = F.col("log_date").isNotNull() if quoted is None else F.coalesce(quoted, F.lit(False))
+    usable = found & ~F.coalesce(fallback, F.lit(False))
     return {
         "previously_quoted": F.when(is_present(item), F.when(usable, rules.QUOTED).otherwise(rules.NOT_QUOTED)),
         "quote_date": F.when(usable, F.col("log_date")),

@@ -32,7 +32,7 @@ def enrich(lines: DataFrame, quotes: DataFrame, aml: DataFrame, crosses: DataFra
             ).otherwise(rules.REPEAT_FLAG),
             "ear": ear(F.col("total_demand"), F.col("min_price")),
             "ear_fallback": ear_uses_fallback(F.col("total_demand"), F.col("min_price")),
-            **quote_columns(F.col("item"), F.col("mfg_partno")),
+            **quote_columns(F.col("item"), F.col("mfg_partno"), F.col("item_quoted")),
         }
     )
     quoted = F.coalesce(F.col("previously_quoted") == rules.QUOTED, F.lit(False))

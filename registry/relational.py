@@ -206,7 +206,7 @@ def best_cross(d):
 def quote_lookup(d):
     side = side_tables.latest_quotes(d.quotes).withColumnRenamed("item", "item_key").withColumn("item_quoted", F.lit(True))
     joined = lookup.lookup(d.lines, side, {"item_key": F.col("item")})
-    return joined.withColumns(lookup.quote_columns(F.col("item"), F.col("mfg_partno"))).select(
+    return joined.withColumns(lookup.quote_columns(F.col("item"), F.col("mfg_partno"), F.col("item_quoted"))).select(
         "item_id", "previously_quoted", stamp("quote_date").alias("quote_date"), "previous_quote_number", "quoted_mpn"
     )
 

@@ -62,7 +62,7 @@ def test_the_last_response_decides(spark):
 
 def test_a_quote_without_date_is_a_quote(spark):
     df = spark.createDataFrame([("i", "m", True, None, "Q1", "p"), ("i", "i", True, None, "Q1", "p"), ("i", "m", None, None, None, None)], "item string, mpn string, item_quoted boolean, log_date date, quote_number string, quote_mpn string")
-    got = df.select(lookup.quote_columns(F.col("item"), F.col("mpn"))["previously_quoted"].alias("q")).collect()
+    got = df.select(lookup.quote_columns(F.col("item"), F.col("mpn"), F.col("item_quoted"))["previously_quoted"].alias("q")).collect()
     assert [r["q"] for r in got] == ["YES", "NO", "NO"]
 
 
