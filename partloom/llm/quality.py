@@ -50,7 +50,7 @@ def repeated_words(words: Column) -> Column:
         words,
         lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("at")),
     )
-    return F.when(F.size(words) < 6, F.lit(0)).otherwise(_covered(F.slice(windows, 1, F.size(words) - 2)))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_covered(F.slice(windows, 1, F.size(words) - 2)))
 
 
 def _covered(windows: Column) -> Column:
