@@ -7,8 +7,8 @@ holder of each of its runs, which is one partner per run however many documents
 common runs are aligned by patience (the longest chain that rises in both documents), what is left is aligned again until
 nothing is left, and the aligned lines go.
 
-Lines are compared after trimming white space; lines without a word are neither compared nor counted, and stay unless they
-lie inside a deleted block. The first holder is never changed on account of a later document.
+Lines are compared after trimming white space; lines without a word are neither compared nor counted, and go if the lines
+with words around them go. The first holder is never changed on account of a later document.
 
 Edge cases: a null text stays null; a null id is no first holder and never changed; rows that repeat an id are the same
 document, all of them change alike and none on account of another; an empty table gives no rows; a document that is
@@ -125,6 +125,15 @@ def cut(text: str, blocks: list[tuple[int, int]]) -> tuple[str, int]:
     gone = set()
     for first, last in blocks:
         gone.update(range(first, last + 1))
+    before, empty = True, []  # lines without a word since the last line with one, and whether that one went
+    for k in range(len(lines) + 1 if gone else 0):
+        if k < len(lines) and not lines[k].encode("utf-8", "surrogatepass").strip():
+            empty.append(k)
+            continue
+        now = k == len(lines) or k in gone
+        if before and now:
+            gone.update(empty)
+        before, empty = now, []
     return "\n".join(line for k, line in enumerate(lines) if k not in gone), len(gone)
 
 
