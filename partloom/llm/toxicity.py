@@ -16,12 +16,14 @@ of a document the highest counts; without toxic and clean examples every score i
 
 from __future__ import annotations
 
+import pickle
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -342,13 +344,20 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> DataFra
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = open_to.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).union(open_to.where("toxic <> 1").orderBy(*order).limit(MOST_CLEAN))
     texts = docs.where(F.length("text") <= MOST_CHARS).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.least(F.lit(1), "toxic").cast("int").alias("toxic"))
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted({row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)})
+    network = train([text for _, text, _ in rows], [toxic for _, _, toxic in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)])], ["network"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Network | None:
-    """Trains on the driver, within the bounds of ``sample``; the order of rows does not matter."""
-    rows = sorted({(r["doc_id"], bytes(r["text"]), min(1, r["toxic"])) for r in sample(docs, labels, folds, held).collect()})
-    return train([text for _, text, _ in rows], [toxic for _, _, toxic in rows])
+    """Trains in one task, within the bounds of ``sample``; only the weights come to the driver. Row order is no matter."""
+    known = sample(docs, labels, folds, held).repartition(1)
+    made = known.mapInArrow(_train, "network binary").collect()
+    return pickle.loads(made[0]["network"]) if made else None
 
 
 def toxic_score(docs: DataFrame, network: Network | None, text: str = "text") -> Column:
