@@ -93,6 +93,20 @@ def rolled(codes: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+def flags(bits: DataFrame, width: int) -> np.ndarray:
+    """``2^width`` flags, set where a number of the one column of ``bits`` (0 to 2^width - 1) is found.
+
+    The bitmap is put together by an aggregate; what comes to the driver is ``2^width / 8`` bytes whatever the input.
+    """
+    shifted = bits.toDF("bit").select((F.col("bit") + 1).alias("bit"))
+    parts = shifted.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(1 << width, bool)
+    for row in parts.collect():
+        own = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little")
+        out[(row["part"] - 1) * len(own) : row["part"] * len(own)] = own
+    return out
+
+
 def slices(batch, rows: int = 512) -> Iterator:
     """Parts of an Arrow batch, so that few whole texts are Python objects at a time."""
     for start in range(0, batch.num_rows, rows):

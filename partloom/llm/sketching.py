@@ -6,9 +6,9 @@ and a coordinate of two sets agrees with probability equal to their similarity.
 
 Documents with equal sets form a class with one representative; only representatives are sketched into buckets (5
 coordinates, 40 bands: a pair at 0.8 is missed once in ten million). In a bucket every member is compared with two
-centres, its smallest and largest id. Where the members other than centres still belong to several components, the
-next round takes more centres (their number doubles), until each bucket is one component or exhausted. No bucket is
-ever collected, none is capped, and no pair inside a component is compared again. Candidates are confirmed on full sets.
+centres, its smallest and largest id, which is all pairs of up to three. The documents of larger buckets that still
+span several components, say because a passage fills the band, go through an exact join on their rarest shingles. No
+bucket is collected or capped, and no pair inside a component is compared again. Candidates are confirmed on full sets.
 
 Edge cases: null or wordless texts have an empty set and are linked with nothing; a null id cannot be linked and is
 its own (null) component; rows that repeat an id are the same document; an empty table gives no rows.
@@ -24,11 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import TokenTable, hash64, mixed, rolled, slices
+from partloom.llm.common import TokenTable, flags, hash64, mixed, rolled, slices
 from partloom.llm.components import components
 from partloom.session import written
 
 ROWS, BANDS = 5, 40
+ID_BITS = 23
 COORDS = ROWS * BANDS
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << 40) - 1)
@@ -52,9 +53,9 @@ def sketch(items: np.ndarray, coords: int = COORDS) -> np.ndarray:
     return best
 
 
-def bands(items: np.ndarray) -> np.ndarray:
+def bands(coordinates: np.ndarray) -> np.ndarray:
     """One bucket number per band; the band is part of the number."""
-    rows = sketch(items).reshape(BANDS, ROWS)
+    rows = coordinates.reshape(BANDS, ROWS)
     out = mixed(np.arange(BANDS, dtype=np.uint64) + np.uint64(17))
     for k in range(ROWS):
         out = mixed(out ^ rows[:, k])
@@ -83,27 +84,41 @@ def _signatures(width: int):
         shingles = Shingles(width)
         for batch in batches:
             for part in slices(batch):
-                sizes, digests, numbers = [], [], []
+                sizes, digests, numbers, marks = [], [], [], []
                 for text in part.column(1).to_pylist():
                     items = shingles.of(text)
                     sizes.append(len(items))
                     digests.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
-                    numbers.append(bands(items) if len(items) else [])
+                    coordinates = sketch(items) if len(items) else None
+                    numbers.append([] if coordinates is None else bands(coordinates))
+                    marks.append(None if coordinates is None else coordinates.astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(numbers, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "bands"],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(numbers, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                    ["doc_id", "n_shingles", "digest", "bands", "marks"],
                 )
 
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(width)
+        shingles, wanted = Shingles(width), shared.value
         for batch in batches:
-            for part in slices(batch):
-                items = [shingles.of(text).tobytes() for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], ["id", "items"])
+            some = batch.filter(pa.array(wanted[batch.column(0).to_numpy() & (len(wanted) - 1)]))
+            for part in slices(some):
+                items = [np.sort(shingles.of(text).view(np.int64)) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.list_(pa.int64()))], ["id", "items"])
+
+    return run
+
+
+def _likely(least: int):
+    """Keeps pairs that agree in ``least`` coordinates, each known by its last byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDS) for k in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least, pa.bool_()))
 
     return run
 
@@ -114,7 +129,7 @@ def _confirm(percent: int):
             for part in slices(batch):
                 keep = []
                 for left, right in zip(part.column(2), part.column(3), strict=True):
-                    x, y = (np.frombuffer(side.as_buffer(), np.uint64) for side in (left, right))
+                    x, y = left.values.to_numpy(), right.values.to_numpy()
                     few, many = (x, y) if len(x) <= len(y) else (y, x)
                     if 100 * len(few) < percent * len(many):
                         keep.append(False)
@@ -127,54 +142,84 @@ def _confirm(percent: int):
     return run
 
 
-def _confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough; sets are made for the documents in pairs only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("in_pair")).distinct()
-    needed = texts.join(ids, texts["doc_id"] == ids["in_pair"], "left_semi")
-    sets = written(needed.mapInArrow(_sets(width), "id bigint, items binary"), "sets")
+def _plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sketches agree in all but a fifth of the coordinates fewer than expected at the similarity.
+
+    That is seven standard deviations off, so a pair at the similarity is lost once in a hundred billion; full sets are
+    moved for the others only.
+    """
+    marks = signed.where("marks IS NOT NULL").groupBy("doc_id").agg(F.min("marks").alias("marks"))
+    with_left = pairs.join(marks.toDF("a", "x"), "a")
+    with_both = with_left.join(marks.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    least = int((percent / 100 - 0.2) * COORDS)
+    return written(with_both.mapInArrow(_likely(least), "a bigint, b bigint"), "pairs")
+
+
+def _sets_of(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, items) of the documents whose ids are in the one column of ``ids``.
+
+    A bitmap of the ids' low bits (1 MB) lets tasks pass over most other texts, so no text is shuffled, only sets.
+    """
+    once = written(ids.distinct(), "wanted")
+    shared = texts.sparkSession.sparkContext.broadcast(flags(once.select(F.col("wanted").bitwiseAND((1 << ID_BITS) - 1)), ID_BITS))
+    made = texts.where("doc_id IS NOT NULL").mapInArrow(_sets(width, shared), "id bigint, items array<bigint>")
+    return written(made.join(once, made["id"] == once["wanted"], "left_semi"), "sets")
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar enough."""
     with_left = pairs.join(sets.toDF("a", "x"), "a")
     with_both = with_left.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return written(with_both.mapInArrow(_confirm(percent), "a bigint, b bigint").distinct(), "links")
+    return written(with_both.mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
 
 
-def _ordered(left, right):
-    return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
+def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, id, n, at): for every set its first shingles in the order of their frequency.
 
+    Two sets at the similarity share a shingle among their first ``n - ceil(n * percent / 100) + 1``. Shingles of one
+    set alone come first and are only counted: ``at`` is the place in the whole order.
+    """
+    tokens = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    ordered = tokens.join(shared, "token").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("sets", "token"))).alias("some"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
+    alone = F.col("n") - F.size("some")
+    first = F.slice("some", F.lit(1), F.greatest(F.lit(0), length - alone).cast("int"))
+    return ordered.select("id", "n", alone.alias("alone"), F.posexplode(first).alias("k", "t")).select(
+        F.col("t.token").alias("token"), "id", "n", (F.col("alone") + F.col("k")).alias("at")
+    )
 
-def _more_links(crowded: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between members of a bucket that its first two centres did not reach.
 
-    ``crowded`` (bucket, id) lists the members that were no centre yet. Round k splits each bucket that still spans
-    several components by a hash into 2^k lots and takes the smallest id of each lot as a centre.
+def _crowded_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components among the documents of open buckets that their rare shingles and sizes allow.
+
+    A shared passage of thousands of documents is frequent and comes last in their order, so it brings none of them
+    together unless it is nearly all they hold. At a shared shingle, what can still follow in both sets bounds their
+    overlap, and with the sizes rules out all but few pairs inside the join. Only members outside the largest component
+    of a shingle are set against the others: a family of near copies is never compared with itself.
     """
-    rest, lots = crowded, 2
-    while True:
-        labels = components(links)
-        named = rest.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        spans = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        still = written(named.join(spans.where("low < high").select("bucket"), "bucket", "left_semi"), "open")
-        if still.isEmpty():
-            return labels
-        lot = F.pmod(F.xxhash64("id", F.lit(lots)), F.lit(lots))
-        centres = still.groupBy("bucket", lot.alias("lot")).agg(F.min("id").alias("centre"))
-        lead = centres.join(labels, centres["centre"] == labels["id"], "left").select(
-            "bucket", "centre", F.coalesce("label", "centre").alias("centre_label")
-        )
-        met = still.join(lead, "bucket")
-        pairs = met.where("label <> centre_label").select(*_ordered(F.col("id"), F.col("centre"))).distinct()
-        links = written(links.union(_confirmed(texts, written(pairs, "pairs"), width, percent)), "links")
-        used = centres.select(F.col("bucket").alias("of"), "centre")
-        rest = written(
-            still.join(used, (still["bucket"] == used["of"]) & (still["id"] == used["centre"]), "left_anti").select("bucket", "id"),
-            "crowded",
-        )
-        lots *= 2
+    first = _rare_first(sets, percent).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    first = written(first.select("token", "id", "n", "at", "label"), "rare-first")
+    parts = first.groupBy("token", "label").agg(F.count(F.lit(1)).alias("members"))
+    spans = parts.groupBy("token").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    open_ = first.join(spans.where("labels > 1").drop("labels"), "token")
+    left = open_.where("label <> main").select(*[F.col(c).alias(f"l_{c}") for c in ("token", "id", "n", "at", "label")])
+    share = percent / (100.0 + percent)
+    need = (F.col("n") + F.col("l_n")) * share - 1e-9
+    met = left.join(
+        open_,
+        (F.col("l_token") == F.col("token"))
+        & (F.col("label") != F.col("l_label"))
+        & (F.least(F.col("n") - F.col("at"), F.col("l_n") - F.col("l_at")) >= need)
+        & (100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")),
+    )
+    return met.select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of ``docs`` (doc_id, text)."""
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    schema = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
+    schema = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, marks binary"
     signed = written(texts.mapInArrow(_signatures(width), schema), "sketches")
 
     classes = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
@@ -189,9 +234,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .union(crowded.where("id <> high").select("id", "high"))
         .distinct()
     )
-    links = _confirmed(texts, written(pairs, "pairs"), width, percent)
-    others = crowded.where("id <> low AND id <> high").select("bucket", "id")
-    labels = _more_links(others, links, texts, width, percent)
+    pairs = _plausible(pairs, signed, percent)
+    links = _confirmed(_sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("wanted")), width), pairs, percent)
+    # Near enough to tell which buckets are settled; a component still in two parts costs some more pairs.
+    labels = components(links, steps=2)
+
+    seen = crowded.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    spans = seen.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    unsettled = seen.join(spans.where("least < most").select("bucket"), "bucket", "left_semi").select(F.col("id").alias("open_id")).distinct()
+    sets = _sets_of(texts, unsettled.select(F.col("open_id").alias("wanted")), width)
+    more = _confirmed(sets, _plausible(_crowded_pairs(sets, labels, percent), signed, percent), percent)
+    labels = components(written(links.union(more), "links"))
 
     named = classes.join(labels.toDF("rep", "label"), "rep", "left").select(
         "digest", F.coalesce("label", "rep").alias("component_id")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import TokenTable, hash64, rolled, slices
+from partloom.llm.common import TokenTable, flags, hash64, rolled, slices
 from partloom.session import written
 
 WIDTH, FEWEST, RUN = 8, 5, 6
@@ -142,27 +142,21 @@ def bitmap(windows: DataFrame) -> np.ndarray:
     """``2^BITS`` flags; two of them are set per item window. At most a megabyte comes to the driver."""
     full = (1 << BITS) - 1
     low, next_ = F.col("window").bitwiseAND(full), F.shiftright("window", BITS).bitwiseAND(full)
-    bits = windows.select(F.explode(F.array(low, next_)).alias("bit")).select((F.col("bit") + 1).alias("bit"))
-    parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    flags = np.zeros(1 << BITS, bool)
-    for row in parts.collect():
-        own = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little")
-        flags[(row["part"] - 1) * len(own) : row["part"] * len(own)] = own
-    return flags
+    return flags(windows.select(F.explode(F.array(low, next_))), BITS)
 
 
 def _document_windows(shared, widths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, flags = Templates(), shared.value
+        reader, known = Templates(), shared.value
         for batch in batches:
             for part in slices(batch, 128):
                 idents = part.column(0)
                 owner, place, word, shape = reader.read([t or b"" for t in part.column(1).to_pylist()])
                 for width in widths:
                     at, window, is_open = reader.windows(owner, word, shape, width)
-                    hit = flags[_first(window)]
+                    hit = known[_first(window)]
                     at, window, is_open = at[hit], window[hit], is_open[hit]
-                    hit = flags[_second(window)]
+                    hit = known[_second(window)]
                     at, window, is_open = at[hit], window[hit], is_open[hit]
                     columns = [idents.take(pa.array(owner[at])), pa.array(place[at], pa.int64()), pa.array(window.view(np.int64)), pa.array(_slots(word, shape, at, is_open, width), pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(columns, schema=WINDOWS)
