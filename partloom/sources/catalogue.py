@@ -26,6 +26,7 @@ REFERENCE_COLUMNS = [
 ]
 
 # CSV header of every catalogue column but the first, which is read by position.
+# Headers of the catalogue sheet.
 CSV_HEADERS = {
     "level1": "LEVEL1_DESC",
     "level2": "LEVEL2_DESC",
@@ -38,6 +39,7 @@ CSV_HEADERS = {
     "typical_mpns": "TYPICAL_MPN_BY_MANUFACTURER",
 }
 
+# Headers of the catalogue export.
 EXPORT_HEADERS = {
     "id": "Id",
     "global_code": "Global comm code desc",

@@ -14,6 +14,7 @@ from partloom.functions.money import PRICE_TYPE
 from partloom.functions.text import is_present, squeeze_key
 
 CROSS_COLUMNS = ["cross_ref_mpn", "supplier_pn", "house_mpn", "house_cost", "cross_ref_mfg"]
+# Columns of the opportunity lookup.
 OPPORTUNITY_COLUMNS = [
     "opportunity_number",
     "opportunity_name",

@@ -9,6 +9,7 @@ from partloom.functions import rules
 from partloom.functions.text import presence, stored_line_text, text_hash
 
 # Header of the result sheet for every enriched column, in sheet order.
+# Columns and headers of the result sheet.
 SHEET_COLUMNS = {
     "quote_no": "SFDC QUOTE NUMBER",
     "item": "ITEM",
