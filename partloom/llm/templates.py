@@ -7,7 +7,8 @@ for the same value of the document. A question asked with other numbers or names
 A document's windows are first held against a bitmap of the item windows (``2^BITS`` bits, whatever the benchmark's
 size; a hit too many costs a row, none is lost), so only what may match is shuffled.
 
-Windows with few literal words match as they are written, not as templates. Items shorter than a window are one window;
+Every window also matches as it is written, in any case of letters and with no check of slots; windows with few literal
+words match in this way only. Items shorter than a window are one window;
 items of fewer than ``FEWEST`` words are not searched. A document leaks an item if ``RUN`` windows of one alignment
 (a run of 13 words) or all of a shorter item's, or half of all the item's windows, are found.
 
@@ -42,6 +43,8 @@ NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*")
 QUANTITY = re.compile(r"[+-]?[$€£]?[0-9][0-9.,]*(?P<unit>[^\W\d_]+|%)")
 _STRIP = string.punctuation.replace("%", "").replace("$", "").replace("+", "") + "“”‘’«»…–—"
 
+# What joins two windows: their words, or a template of them.
+WRITTEN, OPEN, NEVER = 0, 1, 9
 CAPITAL, STOPS, IS_NUMBER, IS_UNIT, IS_QUANTITY, EMPTY = 1, 2, 4, 8, 16, 32
 FACTS = np.dtype([("word", "u8"), ("flags", "u1")])
 HOLDER = {name: np.uint64(hash64(name.encode())) for name in ("<number>", "<name>", "<unit>", "<quantity>")}
@@ -75,16 +78,18 @@ class Templates:
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text number, place in the text, bare word and template word (equal unless a slot) of every word."""
         self.tokens.trim()
-        words = [t.split() for t in texts]
-        sizes = np.array([len(each) for each in words], np.int64)
-        codes = self.tokens.codes([w for each in words for w in each])
+        lines = [(k, line.split()) for k, t in enumerate(texts) for line in t.splitlines()]
+        sizes = np.array([len(each) for _, each in lines], np.int64)
+        codes = self.tokens.codes([w for _, each in lines for w in each])
         seen = self.tokens.table(FACTS)[codes]
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        first = np.diff(owner, prepend=-1) > 0
+        owner = np.repeat(np.array([k for k, _ in lines], np.int64), sizes)
+        line = np.repeat(np.arange(len(lines)), sizes)
         flags = seen["flags"]
-        after_stop = first | np.append(False, (flags[:-1] & STOPS) > 0)
+        starts = (np.diff(line, prepend=-1) > 0) | np.append(False, (flags[:-1] & STOPS) > 0)[: len(line)]
         real = (flags & EMPTY) == 0
-        owner, flags, after_stop, word = owner[real], flags[real], after_stop[real], seen["word"][real]
+        # A start passes over tokens without a word (bullets, dashes) to the next word.
+        after_stop = np.diff(np.cumsum(starts)[real], prepend=0) > 0
+        owner, flags, word = owner[real], flags[real], seen["word"][real]
         number = (flags & IS_NUMBER) > 0
         follows = np.append(False, number[:-1] & (owner[1:] == owner[:-1])) if len(owner) else number
         shape = word.copy()
@@ -96,23 +101,28 @@ class Templates:
         return owner, np.arange(len(owner)) - start[owner] if len(owner) else owner, word, shape
 
     @staticmethod
-    def windows(owner: np.ndarray, word: np.ndarray, shape: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start (index of a word), hash and whether slots are left open, for every window inside one text."""
+    def windows(owner: np.ndarray, word: np.ndarray, shape: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Level, words or template words, start (index of a word) and hash of the windows inside one text.
+
+        ``WRITTEN`` has every window; ``OPEN`` those with slots of which at least half of the words are literal.
+        """
         n = len(owner) - width + 1
         if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
+            return
         at = np.flatnonzero(owner[:n] == owner[width - 1 :])
+        yield WRITTEN, word, at, rolled(word, width)[at]
         literal = np.append(0, np.cumsum(word == shape))
-        is_open = (literal[width:] - literal[:-width])[at] * 2 >= width
-        return at, np.where(is_open, rolled(shape, width)[at], rolled(word, width)[at]), is_open
+        literal = (literal[width:] - literal[:-width])[at]
+        at = at[(literal < width) & (literal * 2 >= width)]
+        yield OPEN, shape, at, rolled(shape, width)[at]
 
 
-def _slots(word, shape, at, is_open, width) -> list[list[int]]:
+def _slots(word, shape, at, width) -> list[list[int]]:
     signed = word.view(np.int64)
-    return [signed[a : a + width][word[a : a + width] != shape[a : a + width]].tolist() if o else [] for a, o in zip(at, is_open, strict=True)]
+    return [signed[a : a + width][word[a : a + width] != shape[a : a + width]].tolist() for a in at]
 
 
-WINDOWS = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("window", pa.int64()), ("slots", pa.list_(pa.int64()))])
+WINDOWS = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("window", pa.int64()), ("slots", pa.list_(pa.int64())), ("level", pa.int32())])
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +135,11 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if len(owner) < FEWEST:
                 continue
             width = min(WIDTH, len(owner))
-            at, window, is_open = reader.windows(owner, word, shape, width)
-            columns = [[ident] * len(at), place[at], window.view(np.int64), _slots(word, shape, at, is_open, width), [width] * len(at), [len(at)] * len(at)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            n_windows = len(owner) - width + 1
+            for level, template, at, window in reader.windows(owner, word, shape, width):
+                n = len(at)
+                columns = [[ident] * n, place[at], window.view(np.int64), _slots(word, template, at, width), [level] * n, [width] * n, [n_windows] * n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _first(window: np.ndarray) -> np.ndarray:
@@ -153,17 +165,45 @@ def _document_windows(shared, widths: list[int]):
                 idents = part.column(0)
                 owner, place, word, shape = reader.read([t or b"" for t in part.column(1).to_pylist()])
                 for width in widths:
-                    at, window, is_open = reader.windows(owner, word, shape, width)
-                    hit = known[_first(window)]
-                    at, window, is_open = at[hit], window[hit], is_open[hit]
-                    hit = known[_second(window)]
-                    at, window, is_open = at[hit], window[hit], is_open[hit]
-                    columns = [idents.take(pa.array(owner[at])), pa.array(place[at], pa.int64()), pa.array(window.view(np.int64)), pa.array(_slots(word, shape, at, is_open, width), pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(columns, schema=WINDOWS)
+                    for level, template, at, window in reader.windows(owner, word, shape, width):
+                        hit = known[_first(window)]
+                        at, window = at[hit], window[hit]
+                        hit = known[_second(window)]
+                        at, window = at[hit], window[hit]
+                        columns = [idents.take(pa.array(owner[at])), place[at], window.view(np.int64), _slots(word, template, at, width), [level] * len(at)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, WINDOWS, strict=True)], schema=WINDOWS)
 
     return run
 
 
+ALIGNMENT = ["doc_id", "item_id", "shift"]
+
+
+def _paired(met: DataFrame) -> DataFrame:
+    """Windows of documents and items that met, by alignment."""
+    level = F.greatest("level", "item_level").alias("level")
+    return met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "n_windows", "item_at", level, "item_slots", "slots")
+
+
+def _steady(paired: DataFrame) -> DataFrame:
+    """Windows found and values changed per alignment, up to the level at which a value stands for two.
+
+    What is found as written has no slots, so a contradiction among templates takes only the templates away.
+    """
+    pair = F.explode(F.arrays_zip("item_slots", "slots"))
+    slots = paired.select(*ALIGNMENT, "level", pair.alias("slot")).select(*ALIGNMENT, "level", F.col("slot.item_slots").alias("asked"), F.col("slot.slots").alias("given"))
+    values = slots.groupBy(*ALIGNMENT, "asked", "given").agg(F.min("level").alias("level"))
+    # A value of the item that meets a second value of the document contradicts itself from the second one's level on.
+    asked = values.groupBy(*ALIGNMENT, "asked").agg(
+        F.get(F.sort_array(F.collect_list("level")), F.lit(1)).alias("until"), F.collect_list(F.when(F.col("asked") != F.col("given"), F.col("level"))).alias("changed")
+    )
+    limits = asked.groupBy(*ALIGNMENT).agg(F.coalesce(F.min("until"), F.lit(NEVER)).alias("until"), F.flatten(F.collect_list("changed")).alias("changed"))
+    windows = paired.groupBy(*ALIGNMENT, "item_at").agg(F.min("level").alias("level"), F.max("n_windows").alias("n_windows"))
+    within = windows.join(limits, ALIGNMENT, "left").withColumn("until", F.coalesce("until", F.lit(NEVER))).where("level < until")
+    changed = F.size(F.filter(F.coalesce("changed", F.array().cast("array<int>")), lambda level: level < F.col("until")))
+    return within.groupBy(*ALIGNMENT).agg(F.max("n_windows").alias("n_windows"), F.count("*").alias("found"), F.max(changed).cast("bigint").alias("changed"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document (doc_id, text) and benchmark item (item_id, text) that it leaks.
 
@@ -171,26 +211,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``n_changed``, the slots whose value differs from the item's.
     """
     texts = lambda rows, key: rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, F.col("text").cast("binary"))
-    schema = "item_id bigint, at bigint, window bigint, slots array<bigint>, width bigint, n_windows bigint"
-    items = written(texts(benchmark, "item_id").mapInArrow(_item_windows, schema.replace("item_id", "id")), "item-windows")
+    schema = "id bigint, at bigint, window bigint, slots array<bigint>, level int"
+    items = written(texts(benchmark, "item_id").mapInArrow(_item_windows, f"{schema}, width bigint, n_windows bigint"), "item-windows")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # WIDTH values at most
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(items))
-    found = texts(docs, "doc_id").mapInArrow(_document_windows(shared, widths), "id bigint, at bigint, window bigint, slots array<bigint>")
-
-    asked = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "window", "n_windows")
-    met = found.withColumnRenamed("id", "doc_id").distinct().join(asked.distinct(), "window")
-    paired = met.where(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("at") - F.col("item_at"))
-    pair = F.explode_outer(F.arrays_zip("item_slots", "slots"))
-    slots = paired.select("doc_id", "item_id", "shift", "n_windows", "item_at", pair.alias("slot"))
-    same = F.col("slot.item_slots") == F.col("slot.slots")
-    aligned = slots.groupBy("doc_id", "item_id", "shift").agg(
-        F.max("n_windows").alias("n_windows"),
-        F.count_distinct("item_at").alias("found"),
-        F.count_distinct("slot").alias("values"),
-        F.count_distinct("slot.item_slots").alias("item_values"),
-        F.count_distinct(F.when(~same, F.col("slot"))).alias("changed"),
-    )
-    steady = aligned.where("values = item_values")
+    found = texts(docs, "doc_id").mapInArrow(_document_windows(shared, widths), schema)
+
+    asked = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "window", "n_windows", F.col("level").alias("item_level"))
+    met = found.withColumnRenamed("id", "doc_id").distinct().join(asked.distinct(), "window").where(F.size("slots") == F.size("item_slots"))
+    paired = written(_paired(met), "window-pairs")
+    steady = _steady(paired)
     each = steady.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max("found").alias("run"), F.least(F.sum("found"), F.max("n_windows")).alias("n_found"), F.max("changed").alias("n_changed")
     )

@@ -49,3 +49,19 @@ def test_odd_rows(spark):
     assert found(spark, [], [(1, QUESTION)]) == [] and found(spark, [(1, QUESTION)], []) == []
     kept = templates.clean(clash(documents(spark, [(1, QUESTION), (2, "x"), (None, QUESTION)])), spark.createDataFrame([(1, QUESTION)], ITEM))
     assert rows(kept, "doc_id") == [(2,), (None,)]
+
+
+def test_copies_in_another_case_or_after_other_words_are_found(spark):
+    own = " ".join(words(random.Random(3), 40))
+    short = "What river runs through Cairo"
+    texts = [(1, f"{own} {QUESTION.lower()} {own}"), (2, f"{own} {QUESTION.upper()} {own}"), (3, f"{own}\n{short}\n{own}"), (4, f"{own}\n- {short}\n{own}"), (5, own)]
+    assert found(spark, texts, [(1, QUESTION), (2, short)]) == [(1, 1), (2, 1), (3, 2), (4, 2)]
+    # A line break starts a sentence, with a bullet or without: the name in mid-sentence is a slot, the word before it is not.
+    other = short.replace("Cairo", "Paris")
+    assert found(spark, [(1, f"{own}\n{other}"), (2, f"{own}\n- {other}")], [(2, short)]) == [(1, 2), (2, 2)]
+
+
+def test_what_is_written_alike_counts_where_other_values_contradict(spark):
+    item = "So Maria and Maria counted the boxes in the store " + " ".join(words(random.Random(4), 20))
+    text = item.replace("Maria and Maria", "Lena and Ahmed")
+    assert found(spark, [(1, text)], [(1, item)]) == [(1, 1)]
