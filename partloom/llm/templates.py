@@ -7,8 +7,10 @@ for the same value of the document. A question asked with other numbers or names
 A document's windows are first held against a bitmap of the item windows (``2^BITS`` bits, whatever the benchmark's
 size; a hit too many costs a row, none is lost), so only what may match is shuffled.
 
-Every window also matches as it is written, in any case of letters and with no check of slots; windows with few literal
-words match in this way only. Items shorter than a window are one window;
+Every window also matches as it is written, in any case of letters and with no check of slots. A capitalised word that
+starts a sentence may be a name or not: windows with one are looked up both ways, and the check of slots decides; the
+words of ``OPENERS`` are no names there. Windows of which less than half is literal count along an alignment that has
+another window too, but make none by themselves. Items shorter than a window are one window;
 items of fewer than ``FEWEST`` words are not searched. A document leaks an item if ``RUN`` windows of one alignment
 (a run of 13 words) or all of a shorter item's, or half of all the item's windows, are found.
 
@@ -39,13 +41,21 @@ UNITS = frozenset(
     " gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres degree degrees celsius fahrenheit kelvin dollar"
     " dollars euro euros cent cents usd eur gbp volt volts watt watts kw kwh mph kmh percent".split()
 )
+# Words that start sentences and are no names. Words that are names as well (will, may, mark) are not among them.
+OPENERS = frozenset(
+    "a an the this that these those there here it its he she they we you i his her their our your my who whom whose what which when where why how"
+    " if in on at by for from of to with without into after before during between among under over about against through as than then so and or but"
+    " not no yes is are was were be been do does did has have had can could would should shall must might each every all both some any many much"
+    " few several most more another other one two three four five six seven eight nine ten while because since until although though once given"
+    " let suppose assume find calculate compute determine explain describe write name list".split()
+)
 NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*")
 QUANTITY = re.compile(r"[+-]?[$€£]?[0-9][0-9.,]*(?P<unit>[^\W\d_]+|%)")
 _STRIP = string.punctuation.replace("%", "").replace("$", "").replace("+", "") + "“”‘’«»…–—"
 
-# What joins two windows: their words, or a template of them.
-WRITTEN, OPEN, NEVER = 0, 1, 9
-CAPITAL, STOPS, IS_NUMBER, IS_UNIT, IS_QUANTITY, EMPTY = 1, 2, 4, 8, 16, 32
+# What joins two windows: their words, a template of them, one with names where sentences start, one with few literal words.
+WRITTEN, OPEN, NAMED, DENSE, NEVER = 0, 1, 2, 3, 9
+CAPITAL, STOPS, IS_NUMBER, IS_UNIT, IS_QUANTITY, EMPTY, OPENS = 1, 2, 4, 8, 16, 32, 64
 FACTS = np.dtype([("word", "u8"), ("flags", "u1")])
 HOLDER = {name: np.uint64(hash64(name.encode())) for name in ("<number>", "<name>", "<unit>", "<quantity>")}
 
@@ -66,6 +76,8 @@ def facts(token: bytes) -> tuple[int, int]:
         flags |= CAPITAL
     if word in UNITS:
         flags |= IS_UNIT
+    if word in OPENERS:
+        flags |= OPENS
     return hash64(word.encode("utf-8", "surrogatepass")), flags
 
 
@@ -75,8 +87,11 @@ class Templates:
     def __init__(self):
         self.tokens = TokenTable(facts)
 
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text number, place in the text, bare word and template word (equal unless a slot) of every word."""
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Text number, place in the text, bare word and template words (equal unless a slot) of every word.
+
+        There are two templates: without and with names where sentences start.
+        """
         self.tokens.trim()
         lines = [(k, line.split()) for k, t in enumerate(texts) for line in t.splitlines()]
         sizes = np.array([len(each) for _, each in lines], np.int64)
@@ -92,29 +107,36 @@ class Templates:
         owner, flags, word = owner[real], flags[real], seen["word"][real]
         number = (flags & IS_NUMBER) > 0
         follows = np.append(False, number[:-1] & (owner[1:] == owner[:-1])) if len(owner) else number
-        shape = word.copy()
-        shape[((flags & CAPITAL) > 0) & ~after_stop] = HOLDER["<name>"]
-        shape[((flags & IS_UNIT) > 0) & follows] = HOLDER["<unit>"]
-        shape[(flags & IS_QUANTITY) > 0] = HOLDER["<quantity>"]
-        shape[number] = HOLDER["<number>"]
+        shapes = []
+        for closed in (after_stop, after_stop & ((flags & OPENS) > 0)):
+            shape = word.copy()
+            shape[((flags & CAPITAL) > 0) & ~closed] = HOLDER["<name>"]
+            shape[((flags & IS_UNIT) > 0) & follows] = HOLDER["<unit>"]
+            shape[(flags & IS_QUANTITY) > 0] = HOLDER["<quantity>"]
+            shape[number] = HOLDER["<number>"]
+            shapes.append(shape)
         start = np.searchsorted(owner, np.arange(len(texts)))
-        return owner, np.arange(len(owner)) - start[owner] if len(owner) else owner, word, shape
+        return owner, np.arange(len(owner)) - start[owner] if len(owner) else owner, word, shapes
 
     @staticmethod
-    def windows(owner: np.ndarray, word: np.ndarray, shape: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def windows(owner: np.ndarray, word: np.ndarray, shapes: list[np.ndarray], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Level, words or template words, start (index of a word) and hash of the windows inside one text.
 
-        ``WRITTEN`` has every window; ``OPEN`` those with slots of which at least half of the words are literal.
+        ``WRITTEN`` has every window; ``OPEN`` those with slots of which at least half of the words are literal, ``NAMED``
+        the same with names where sentences start, ``DENSE`` those with fewer literal words.
         """
         n = len(owner) - width + 1
         if n <= 0:
             return
         at = np.flatnonzero(owner[:n] == owner[width - 1 :])
         yield WRITTEN, word, at, rolled(word, width)[at]
-        literal = np.append(0, np.cumsum(word == shape))
-        literal = (literal[width:] - literal[:-width])[at]
-        at = at[(literal < width) & (literal * 2 >= width)]
-        yield OPEN, shape, at, rolled(shape, width)[at]
+        for level, shape, other in ((OPEN, shapes[0], word), (NAMED, shapes[1], shapes[0])):
+            template = rolled(shape, width)
+            literal, new = (np.append(0, np.cumsum(x)) for x in (word == shape, shape != other))
+            literal, new = (literal[width:] - literal[:-width])[at], (new[width:] - new[:-width])[at] > 0
+            for part, own in ((level, literal * 2 >= width), (DENSE, literal * 2 < width)):
+                chosen = at[new & own]
+                yield part, shape, chosen, template[chosen]
 
 
 def _slots(word, shape, at, width) -> list[list[int]]:
@@ -131,12 +153,12 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     schema = WINDOWS.append(pa.field("width", pa.int64())).append(pa.field("n_windows", pa.int64()))
     for batch in batches:
         for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            owner, place, word, shape = reader.read([text])
+            owner, place, word, shapes = reader.read([text])
             if len(owner) < FEWEST:
                 continue
             width = min(WIDTH, len(owner))
             n_windows = len(owner) - width + 1
-            for level, template, at, window in reader.windows(owner, word, shape, width):
+            for level, template, at, window in reader.windows(owner, word, shapes, width):
                 n = len(at)
                 columns = [[ident] * n, place[at], window.view(np.int64), _slots(word, template, at, width), [level] * n, [width] * n, [n_windows] * n]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -163,9 +185,9 @@ def _document_windows(shared, widths: list[int]):
         for batch in batches:
             for part in slices(batch, 128):
                 idents = part.column(0)
-                owner, place, word, shape = reader.read([t or b"" for t in part.column(1).to_pylist()])
+                owner, place, word, shapes = reader.read([t or b"" for t in part.column(1).to_pylist()])
                 for width in widths:
-                    for level, template, at, window in reader.windows(owner, word, shape, width):
+                    for level, template, at, window in reader.windows(owner, word, shapes, width):
                         hit = known[_first(window)]
                         at, window = at[hit], window[hit]
                         hit = known[_second(window)]
@@ -182,6 +204,7 @@ ALIGNMENT = ["doc_id", "item_id", "shift"]
 def _paired(met: DataFrame) -> DataFrame:
     """Windows of documents and items that met, by alignment."""
     level = F.greatest("level", "item_level").alias("level")
+    met = met.where(F.size("slots") == F.size("item_slots"))
     return met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "n_windows", "item_at", level, "item_slots", "slots")
 
 
@@ -215,11 +238,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = written(texts(benchmark, "item_id").mapInArrow(_item_windows, f"{schema}, width bigint, n_windows bigint"), "item-windows")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # WIDTH values at most
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(items))
-    found = texts(docs, "doc_id").mapInArrow(_document_windows(shared, widths), schema)
-
-    asked = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "window", "n_windows", F.col("level").alias("item_level"))
-    met = found.withColumnRenamed("id", "doc_id").distinct().join(asked.distinct(), "window").where(F.size("slots") == F.size("item_slots"))
-    paired = written(_paired(met), "window-pairs")
+    found = written(texts(docs, "doc_id").mapInArrow(_document_windows(shared, widths), schema), "document-windows")
+    found = found.withColumnRenamed("id", "doc_id").distinct()
+
+    asked = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "window", "n_windows", F.col("level").alias("item_level")).distinct()
+    open_ = found.where(F.col("level") < DENSE).join(asked.where(F.col("item_level") < DENSE), "window")
+    paired = written(_paired(open_), "window-pairs")
+    # Dense windows are looked up where an alignment expects them, never by their template alone.
+    expected = paired.select(*ALIGNMENT).distinct().join(asked.where(F.col("item_level") == DENSE), "item_id")
+    expected = expected.withColumn("at", F.col("shift") + F.col("item_at")).drop("shift")
+    dense = _paired(found.where(F.col("level") == DENSE).join(expected, ["doc_id", "at", "window"]))
+    paired = written(paired.unionByName(dense), "aligned-windows")
     steady = _steady(paired)
     each = steady.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max("found").alias("run"), F.least(F.sum("found"), F.max("n_windows")).alias("n_found"), F.max("changed").alias("n_changed")

@@ -65,3 +65,20 @@ def test_what_is_written_alike_counts_where_other_values_contradict(spark):
     item = "So Maria and Maria counted the boxes in the store " + " ".join(words(random.Random(4), 20))
     text = item.replace("Maria and Maria", "Lena and Ahmed")
     assert found(spark, [(1, text)], [(1, item)]) == [(1, 1)]
+
+
+def test_names_that_open_sentences_are_slots_if_they_are_consistent(spark):
+    item = "Tom has 5 apples. Mary gives him 3 more. How many apples does Tom have now?"
+    fill = lambda a, b, c, d, e: f"{a} has {b} apples. {c} gives him {d} more. How many apples does {e} have now?"
+    texts = [(1, fill("Bob", 7, "Alice", 2, "Bob")), (2, fill("Bob", 7, "Alice", 2, "Carl")), (3, "Text here " + fill("Bob", 7, "Alice", 2, "Bob"))]
+    got = templates.leaks(documents(spark, texts), spark.createDataFrame([(1, item)], ITEM))
+    assert rows(got, "doc_id", "n_found", "n_windows", "n_changed") == [(1, 9, 9, 4), (3, 9, 9, 4)]
+    # A word that opens a sentence is not taken for a name of an item of one window.
+    assert found(spark, [(1, "Paris is the capital of France.")], [(1, "What is the capital of France")]) == []
+
+
+def test_windows_of_few_literal_words_support_an_alignment(spark):
+    fill = lambda v: f"Add up the numbers that are listed here: {' '.join(map(str, v))}"
+    item, other, numbers = fill(range(10, 25)), fill(range(70, 85)), " ".join(map(str, range(70, 100)))
+    got = templates.leaks(documents(spark, [(1, other), (2, numbers)]), spark.createDataFrame([(1, item), (2, " ".join(map(str, range(10, 25))))], ITEM))
+    assert rows(got, "doc_id", "item_id", "n_found", "n_windows") == [(1, 1, 16, 16)]
