@@ -1,8 +1,10 @@
 """Personal data: expressions propose spans, checksums confirm them, nearby words adjust the score.
 
 Base kinds (email, ip, card, phone) follow fixed rules and always stay. Added kinds (iban, ssn, secret) start with a
-score of their own, gain or lose by their validator and by context words within ``REACH`` characters before the span, and
-count from ``LEAST_SCORE`` on. Offsets are code points, ends exclusive. Every scan is linear in the text: matches can
+score of their own, gain or lose by their validator and by context words within ``REACH`` characters before or after the
+span, and count from ``LEAST_SCORE`` on. An account number is followed by other words at times: of the candidate counts
+what has the length of its country, or the whole, or in an unknown country the longest part that ends at a border and is
+confirmed. Offsets are code points, ends exclusive. Every scan is linear in the text: matches can
 only start where a run starts.
 
 Edge cases: a null or empty text has no spans (the digest is that of the empty string); ids may be null or repeat,
@@ -30,10 +32,21 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token)=[^\x20\x09-\x0D]{6,200}")
+SECRET = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token)=[^\x20\x09-\x0D]{6,}")
 DIGIT = re.compile("[0-9]")
 NOT_DIGIT = re.compile("[^0-9]")
 
+# Length of the account numbers of a country.
+LENGTHS = {
+    k[:2]: int(k[2:])
+    for k in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27"
+        " GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19"
+        " MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23"
+        " TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+
 CONTEXT = {
     "iban": re.compile(r"(?i)\b(?:iban|account|konto|compte|cuenta|bank)\b"),
     "ssn": re.compile(r"(?i)\b(?:ssn|social|security)\b"),
@@ -59,6 +72,20 @@ def mod97(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Confirmed account numbers; a candidate (64 characters at most) without one is searched again from its next character."""
+    m = IBAN.search(text)
+    while m:
+        whole, known = m[0], LENGTHS.get(m[0][:2])
+        ends = [k for k in range(len(whole), 0, -1) if k == len(whole) or whole[k] == " "]
+        sizes = {k: k - whole.count(" ", 0, k) for k in ends}
+        tried = [k for k in ends if sizes[k] == known] + ends[:1] if known else [k for k in ends if sizes[k] >= 15]
+        end = next((m.start() + k for k in tried if mod97(whole[:k])), None)
+        if end:
+            yield m.start(), end
+        m = IBAN.search(text, end or m.start() + 1)
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost, non-overlapping: from every @, back over the local part and on over the domain."""
     done, at = 0, text.find("@")
@@ -91,11 +118,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def near(kind: str, text: str, start: int, end: int) -> bool:
+    """A context word lies wholly within ``REACH`` characters before or after the span."""
+    if CONTEXT[kind].search(text, max(0, start - REACH), start):
+        return True
+    after = CONTEXT[kind].search(text, end, end + REACH + 1)
+    return after is not None and after.end() <= end + REACH
+
+
 def score(kind: str, text: str, start: int, end: int) -> float:
     value = PRIOR[kind]
     if kind == "iban":
         value += CONFIRMED if mod97(text[start:end]) else DENIED
-    if CONTEXT[kind].search(text, max(0, start - REACH), start):
+    if near(kind, text, start, end):
         value += NEAR
     return value
 
@@ -104,10 +139,11 @@ def added_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if not DIGIT.search(text) and "=" not in text and "AKIA" not in text:
         return out
-    for kind, pattern in (("iban", IBAN), ("ssn", SSN), ("secret", SECRET)):
-        for m in pattern.finditer(text):
-            if score(kind, text, m.start(), m.end()) >= LEAST_SCORE:
-                out.append((m.start(), KINDS.index(kind), m.end()))
+    found = [("iban", a, b) for a, b in accounts(text)]
+    found += [(kind, m.start(), m.end()) for kind, pattern in (("ssn", SSN), ("secret", SECRET)) for m in pattern.finditer(text)]
+    for kind, start, end in found:
+        if score(kind, text, start, end) >= LEAST_SCORE:
+            out.append((start, KINDS.index(kind), end))
     return out
 
 

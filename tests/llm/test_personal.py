@@ -74,6 +74,30 @@ def test_added_kinds_need_a_checksum_or_context(text, want):
     assert personal.found(text)[6] == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("a token=" + "x" * 600 + " b", "secret:2:608"),
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "iban:5:32"),
+        ("DE89370400440532013000 EUR 250", "iban:0:22"),
+        ("REF AB12 CDEF DE89370400440532013000 EUR", "iban:14:36"),
+        ("code DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX", ""),
+        ("123-45-6789 is my SSN", "ssn:0:11"),
+        ("123-45-6789" + " " * 38 + "ssnail", ""),
+        ("123-45-6789" + " " * 38 + "ssn", ""),
+        ("123-45-6789" + " " * 37 + "ssn", "ssn:0:11"),
+        ("123-45-6789" + " " * 37 + "ssnail", ""),
+    ],
+)
+def test_added_spans_are_whole(text, want):
+    assert personal.found(text)[6] == want
+
+
+def test_redact_leaves_nothing_of_a_long_token():
+    text = "token=" + "x" * 600 + " end"
+    assert personal.redact(text, personal.found(text)[6]) == "<secret> end"
+
+
 def test_redact():
     text = "mail a@b.co or +1 (988) 555-2485"
     assert personal.redact(text, personal.found(text)[6]) == "mail <email> or <phone>"
