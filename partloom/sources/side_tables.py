@@ -90,6 +90,18 @@ def best_cross(crosses: DataFrame, grade: str) -> DataFrame:
     )
 
 
+def best_cross_by_grade(crosses: DataFrame) -> DataFrame:
+    """As ``best_cross``, one row per part number and grade."""
+    cost = F.coalesce(F.col("house_cost"), F.lit(-(10**13)).cast(PRICE_TYPE))
+    cheapest = (
+        crosses.where(is_present(F.col("house_mpn")) & F.col("cross_ref_mpn").isNotNull() & F.col("component_grade").isNotNull())
+        .groupBy("cross_ref_mpn", "component_grade", "supplier_pn", "cross_ref_mfg")
+        .agg(F.min(F.struct(cost.alias("sort_cost"), F.col("house_mpn"), F.col("house_cost"))).alias("best"))
+    )
+    pick = F.struct("supplier_pn", "cross_ref_mfg", F.col("best.house_mpn").alias("house_mpn"), F.col("best.house_cost").alias("house_cost"))
+    return cheapest.groupBy("cross_ref_mpn", "component_grade").agg(F.min(pick).alias("pick")).select("cross_ref_mpn", "component_grade", "pick.*")
+
+
 def latest_quotes(quotes: DataFrame) -> DataFrame:
     """Latest quote per item; equal dates are decided by quote number, then part."""
     last = F.max(F.struct("log_date", "quote_number", "quote_mpn")).alias("last")

@@ -198,6 +198,23 @@ def best_cross(d):
     return joined.select("item_id", "supplier_pn", "house_mpn", num("house_cost").alias("house_cost"), "cross_ref_mfg")
 
 
+@query(
+    "J5_best_cross_by_grade",
+    """SELECT item_id, supplier_pn, b.house_mpn, CAST(house_cost AS DOUBLE) AS house_cost, cross_ref_mfg FROM lines LEFT JOIN
+    (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cross_ref_mpn, component_grade, supplier_pn, cross_ref_mfg ORDER BY house_cost ASC NULLS FIRST, house_mpn) AS rn
+    FROM crosses WHERE house_mpn IS NOT NULL AND trim(house_mpn) <> '' AND cross_ref_mpn IS NOT NULL) WHERE rn = 1
+    QUALIFY row_number() OVER (PARTITION BY cross_ref_mpn, component_grade ORDER BY supplier_pn, cross_ref_mfg) = 1) b
+    ON mfg_partno = b.cross_ref_mpn AND grade = b.component_grade""",
+    "lines",
+    "crosses",
+)
+def best_cross_by_grade(d):
+    """Crosses of the grade of each line's file; ``J5_best_cross`` looks up one grade for all."""
+    best = side_tables.best_cross_by_grade(d.crosses).withColumnRenamed("component_grade", "grade_key")
+    joined = lookup.lookup(d.lines, best, {"cross_ref_mpn": F.col("mfg_partno"), "grade_key": F.col("grade")})
+    return joined.select("item_id", "supplier_pn", "house_mpn", num("house_cost").alias("house_cost"), "cross_ref_mfg")
+
+
 @query(
     "J6_quote_lookup",
     f"SELECT item_id, previously_quoted, {sql_stamp('quote_date')} AS quote_date, previous_quote_number, quoted_mpn FROM enriched",
@@ -425,6 +442,21 @@ def matched_old_lines(d):
     return remap.matched_previous(d.lines.where("auto_mode"), old).select(F.col("item_id").alias("old_id"))
 
 
+@query(
+    "U1_matched_by_all_lines",
+    _with(
+        """SELECT item_id AS old_id FROM edits e WHERE (file_id, item) IN (SELECT (file_id, item) FROM lines)
+    OR (file_id, description) IN (SELECT (file_id, description) FROM lines)""",
+        _EDIT_KEYS,
+    ),
+    "lines",
+)
+def matched_by_all_lines(d):
+    """Edited old lines that some line of any file can take; ``U1_matched_old_lines`` asks the lines in auto mode only."""
+    old = _edits(d).where(F.col("new_commodity") != "").join(d.lines.drop("commodity"), ["file_id", "item_id"])
+    return remap.matched_previous(d.lines, old).select(F.col("item_id").alias("old_id"))
+
+
 @query(
     "U2_active_parts",
     "SELECT DISTINCT cross_ref_mpn, component_grade FROM crosses WHERE status = 'ACTIVE' AND house_mpn IS NOT NULL AND cross_ref_mpn IS NOT NULL",

@@ -1,5 +1,7 @@
 """Operators on small fixtures, against brute force where SQL has no equivalent."""
 
+from decimal import Decimal
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -237,3 +239,19 @@ def test_null_keys_are_spread_over_the_shuffle(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_best_cross_of_each_grade(spark):
+    schema = "cross_ref_mpn string, supplier_pn string, house_mpn string, house_cost decimal(28,10), cross_ref_mfg string, component_grade string"
+    crosses = [("P", "S1", "H1", 5, "M", "COMMERCIAL"), ("P", "S1", "H2", 3, "M", "AUTO"), ("P", "S1", "H3", 4, "M", "AUTO"), ("P", "S0", " ", 1, "M", "AUTO"), ("P", "S0", "H4", 1, "M", None)]
+    crosses = [(a, b, c, Decimal(d), e, f) for a, b, c, d, e, f in crosses]
+    got = side_tables.best_cross_by_grade(spark.createDataFrame(crosses, schema)).collect()
+    assert sorted((r["cross_ref_mpn"], r["component_grade"], r["house_mpn"]) for r in got) == [("P", "AUTO", "H2"), ("P", "COMMERCIAL", "H1")]
+
+
+def test_old_lines_of_files_in_either_mode_are_matched(spark):
+    from __spark_entry__ import queries
+
+    sf = "/root/testdata/sf0.001"
+    every, auto = ({r["old_id"] for r in queries()[q](spark, sf).collect()} for q in ("U1_matched_by_all_lines", "U1_matched_old_lines"))
+    assert auto < every
