@@ -71,22 +71,25 @@ def _covered(windows: Column) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Id and measurements; ``docs`` has ``doc_id`` and the text column."""
+    """Id and measurements; ``docs`` has ``doc_id`` and the text column.
+
+    All measurements of a text come out of one generator. Words and lines are bound once inside it, and a filter on
+    a measurement stays above it, so that no predicate splits a text again.
+    """
     full = F.coalesce(F.col(text), F.lit(""))
-    cut = docs.select("doc_id", full.alias("text"), words_of(F.col(text)).alias("words"))
-    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD))
-    long = cut.select(
-        "doc_id",
-        F.size("words").cast("bigint").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("bigint").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
-        (F.length(F.regexp_replace("text", "[^A-Z]+", ""))).cast("bigint").alias("n_capitals"),
-        lines.alias("lines"),
-        repeated_words(F.col("words")).cast("bigint").alias("n_repeat_words"),
+    lines = F.filter(F.split(full, "\n"), lambda line: line.rlike(WORD))
+    n_symbols = F.length(full) - F.length(F.translate(full, "#*$%&|<>", ""))
+    both = F.struct(words_of(F.col(text)).alias("words"), lines.alias("lines"))
+    each = lambda b: F.struct(
+        F.size(b["words"]).cast("bigint").alias("n_words"),
+        F.length(F.translate(full, " \t\n\x0b\f\r", "")).cast("bigint").alias("word_chars"),
+        n_symbols.cast("bigint").alias("n_symbols"),
+        F.length(F.regexp_replace(full, "[^A-Z]+", "")).cast("bigint").alias("n_capitals"),
+        repeated_words(b["words"]).cast("bigint").alias("n_repeat_words"),
+        F.size(b["lines"]).cast("bigint").alias("n_lines"),
+        (F.size(b["lines"]) - F.size(F.array_distinct(b["lines"]))).cast("bigint").alias("n_dup_lines"),
     )
-    n_lines = F.size("lines").cast("bigint")
-    distinct = F.size(F.array_distinct("lines")).cast("bigint")
-    return long.withColumns({"n_lines": n_lines, "n_dup_lines": n_lines - distinct}).drop("lines")
+    return docs.select("doc_id", F.inline(F.transform(F.array(both), each)))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

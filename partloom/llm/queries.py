@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from partloom.llm import alignment, bytetrees, mixing, personal, quality, sketching, snapshots, templates, toxicity, urllists
 from partloom.llm.common import table
-from partloom.llm.sql import MIXING, QUALITY, SNAPSHOTS, URLLISTS
+from partloom.llm.sql import ABLATION, MIXING, QUALITY, SNAPSHOTS, URLLISTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the newest policy costs, counted over the ledger of all documents."""
+    return quality.ablate(quality.ledger(table(spark, sf_dir, "documents")), "web-2")
+
+
 def op2_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -101,11 +106,13 @@ QUERIES: dict[str, Query] = {
         op8_personal_data,
         op9_chat,
         op10_mixing,
+        quality_ablation,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": QUALITY,
+    "quality_ablation": ABLATION,
     "op6_url_lists": URLLISTS,
     "op9_chat": SNAPSHOTS,
     "op10_mixing": MIXING,

@@ -30,6 +30,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
+ABLATION = f"""
+WITH ledger AS ({QUALITY}),
+rules AS (SELECT unnest(['few_words', 'repeated_words', 'symbols', 'repeated_lines', 'word_length', 'shouting']) AS rule, unnest([1, 2, 4, 8, 16, 32]) AS bit)
+SELECT rule, (count(*) FILTER (WHERE failed_bits & bit <> 0))::BIGINT AS fails,
+  (count(*) FILTER (WHERE failed_bits = bit))::BIGINT AS fails_only_this,
+  (count(*) FILTER (WHERE failed_bits = 0 OR failed_bits = bit))::BIGINT AS kept_without
+FROM ledger, rules GROUP BY rule
+"""
+
 MIXING = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size

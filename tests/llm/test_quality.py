@@ -34,3 +34,11 @@ def test_odd_rows(spark):
     assert got.count() == len(ODD) and got.where("doc_id = 5 AND n_repeat_words = 60000").count() == 1
     assert quality.ledger(documents(spark, [])).count() == 0
     assert quality.ablate(quality.ledger(documents(spark, [])), "web-2").count() == 0
+
+
+def test_filters_split_no_text_again(spark):
+    """A filter on measurements stays above the generator: words and lines are split once each."""
+    docs = documents(spark, [(1, "a b c")])
+    for predicate in ("kept", "n_repeat_words > 5 AND n_words > 3"):
+        plan = quality.judge(quality.ledger(docs), "web-2").where(predicate)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 2, predicate
