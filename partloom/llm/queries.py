@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from partloom.llm import alignment, bytetrees, mixing, personal, quality, sketching, snapshots, templates, toxicity, urllists
+from partloom.llm import alignment, bytetrees, mixing, personal, pieces, quality, sketching, snapshots, templates, toxicity, urllists
 from partloom.llm.common import table
 from partloom.llm.sql import ABLATION, MIXING, QUALITY, SNAPSHOTS, URLLISTS
 
@@ -93,6 +93,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op12_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.aligned(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
@@ -106,6 +110,7 @@ QUERIES: dict[str, Query] = {
         op8_personal_data,
         op9_chat,
         op10_mixing,
+        op12_token_groups,
         quality_ablation,
     )
 }
