@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from partloom.llm import alignment, bytetrees, mixing, personal, pieces, quality, sketching, snapshots, templates, toxicity, urllists
+from partloom.llm import alignment, bytetrees, mixing, personal, pieces, products, quality, sketching, snapshots, templates, toxicity, urllists, whitening
 from partloom.llm.common import table
-from partloom.llm.sql import ABLATION, MIXING, QUALITY, SNAPSHOTS, URLLISTS
+from partloom.llm.sql import ABLATION, MIXING, PRODUCTS, QUALITY, SNAPSHOTS, URLLISTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,10 +93,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.aligned(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
@@ -110,7 +118,9 @@ QUERIES: dict[str, Query] = {
         op8_personal_data,
         op9_chat,
         op10_mixing,
+        op11_top_products,
         op12_token_groups,
+        op13_whitening,
         quality_ablation,
     )
 }
@@ -121,4 +131,5 @@ ORACLES: dict[str, str] = {
     "op6_url_lists": URLLISTS,
     "op9_chat": SNAPSHOTS,
     "op10_mixing": MIXING,
+    "op11_top_products": PRODUCTS,
 }

@@ -119,3 +119,16 @@ SELECT k.conv_id, ((place - 1) // 256)::BIGINT AS part, k.n_turns::BIGINT AS n_t
   string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
 FROM kept k JOIN p USING (conv_id) GROUP BY k.conv_id, part, k.n_turns, k.n_equal
 """
+
+PRODUCTS = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS xs FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.xs, c.xs)::BIGINT AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.xs) = len(c.xs) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
