@@ -303,6 +303,31 @@ def nearest_blocked(d):
     return found.select("key", "ref_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+def _with(sql_text: str, extra: str) -> str:
+    """SQL with further frames of its own."""
+    return f"SELECT * FROM (WITH {extra} {sql_text})"
+
+
+_REF_PAIRS = """pairs AS (SELECT vec_id AS key, id AS ref_id, round(list_inner_product(e.v, r.v) / (e.n * r.n), 12) AS sim
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(v, v)) AS n FROM embeddings) e
+  CROSS JOIN (SELECT id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(v, v)) AS n FROM refs) r)"""
+
+
+@query(
+    "J12_nearest_of_catalogue",
+    _with(
+        "SELECT key, ref_id, rank, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sim DESC, ref_id) AS rank FROM pairs) WHERE rank <= 3",
+        _REF_PAIRS,
+    ),
+    "refs",
+)
+def nearest_of_catalogue(d):
+    """All vectors against the whole catalogue, in several blocks and groups."""
+    catalogue = d.refs.select(F.col("id").alias("ref_id"), F.col("embedding").alias("vec"))
+    found = nearest_references(d.vectors, catalogue, k=3, block_bytes=16 << 10, group=4)
+    return found.select("key", "ref_id", F.col("rank").cast("bigint").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
 def _edits(d):
     """Edits of the old lines of the part with small quantities; some are empty."""
     small = d.lines.where(F.col("eau") < 25)
@@ -317,11 +342,6 @@ _EDIT_KEYS = """edits AS (SELECT file_id, item_id, line_no, item, description, '
     UNION ALL SELECT file_id, item || '|' || description, line_no, new_commodity FROM edits) GROUP BY 1, 2)"""
 
 
-def _with(sql_text: str, extra: str) -> str:
-    """SQL with further frames of its own."""
-    return f"SELECT * FROM (WITH {extra} {sql_text})"
-
-
 @query(
     "J13_line_remap",
     _with(

@@ -62,8 +62,10 @@ def test_nearest_equals_brute_force_for_any_block_size(spark):
     line_df = spark.createDataFrame(
         [(i, v.tolist()) for i, v in enumerate(lines)] + [(500, None), (501, [1.0, 2.0]), (502, [0.0] * 8)], "key bigint, vec array<double>"
     ).repartition(5)
-    for block_bytes in (1 << 20, 1500):
-        found = nearest.nearest_references(line_df, ref_df, 5, block_bytes).collect()
+    for block_bytes, group in ((1 << 20, 16), (1500, 16), (300, 2)):
+        found = nearest.nearest_references(line_df, ref_df, 5, block_bytes, group).collect()
+        one = nearest.nearest_references(line_df, ref_df, 1, block_bytes, group).collect()
+        assert {(r["key"], r["ref_id"], r["rank"]) for r in one} == {e for e in expected if e[2] == 1}
         assert {(r["key"], r["ref_id"], r["rank"]) for r in found} == expected
 
 
