@@ -15,11 +15,11 @@ from partloom.plans.standardize import standardize
 from partloom.session import scratch_path, written
 from partloom.sources.side_tables import crosses_by_mpn
 from partloom.streaming.sessions import session_stream
-from partloom.streaming.uploads import upload_stream
+from partloom.streaming.uploads import review_stream, upload_stream
 from registry import sqlx
 from registry.core import num, query, sql_stamp, stamp
 from registry.relational import _LEVELS
-from registry.scans import written_sheets
+from registry.scans import landed_sheets
 
 
 def _enriched(d):
@@ -324,14 +324,86 @@ def abandoned(d):
     return _shown(sessions.close_abandoned(sessions.sessions_from_events(d.logins), as_of))
 
 
-@query("ST4_upload_stream")
+_UPLOAD_FILE_PATTERN = r"file_id=(\d+)"
+_HEADER_ONLY, _OTHER_FORMAT = 900_001, 900_002
+
+
+def upload_file():
+    return F.regexp_extract("file", _UPLOAD_FILE_PATTERN, 1).cast("bigint")
+
+
+def _uploaded(d, *steps):
+    """All sheets land in a folder, one CSV file each, with a file of another format and one that is a header alone.
+
+    Every file gets the options and the approved mapping of its own file. Returns the folder of the stored tables after
+    the upload stream and the given later streams have run.
+    """
+    landing, target = landed_sheets(d, _HEADER_ONLY, _OTHER_FORMAT), scratch_path(d.spark, "uploads")
+    own = d.mapped_files.select(F.col("file_id").alias("own_id"), "auto_mode", "demand_lookup", "volume_multiplier", F.transform_values("mapping", lambda _, header: F.trim(header)).alias("approved"))
+
+    def options(files):
+        named = files.withColumn("own_id", upload_file()).join(own, "own_id", "left")
+        return named.withColumns({"mapping": F.coalesce("approved", "mapping"), "auto_mode": F.coalesce("auto_mode", F.lit(False)), "demand_lookup": F.coalesce("demand_lookup", F.lit(False))}).drop("own_id", "approved")
+
+    streams = [lambda: upload_stream(d.spark, landing, target, lambda: d.sides, scratch_path(d.spark, "upload-checkpoint"), options, max_columns=16), *[lambda s=s: s(target) for s in steps]]
+    for stream in streams:
+        stream().trigger(availableNow=True).start().awaitTermination()
+    return target
+
+
+def _stored(d, target, table):
+    """A stored table with the number of the file each upload came from."""
+    files = d.spark.read.parquet(f"{target}/status").select(F.col("file_id").alias("upload"), upload_file().alias("file_id"))
+    rows = d.spark.read.parquet(f"{target}/{table}").withColumnRenamed("file_id", "upload")
+    return rows.drop("file_id").join(files, "upload")
+
+
+_UPLOAD_LINES = "quote_no, item, mfg_partno, mfg_name, description, site, eau, commodity, scope"
+
+
+@query(
+    "ST4_upload_stream",
+    f"SELECT file_id, {_UPLOAD_LINES}, CAST(std_cost AS DOUBLE) AS std_cost, CAST(last_purchase_price AS DOUBLE) AS last_purchase_price, CAST(last_po AS DOUBLE) AS last_po "
+    "FROM (SELECT * REPLACE (coalesce(quote_no, '') AS quote_no, coalesce(mfg_partno, '') AS mfg_partno, coalesce(mfg_name, '') AS mfg_name, coalesce(site, '') AS site) FROM processed)",
+    "processed",
+)
 def upload(d):
-    """All sheets land in a folder and are processed as a stream; each written CSV file is an upload."""
-    target, checkpoint = scratch_path(d.spark, "uploads"), scratch_path(d.spark, "upload-checkpoint")
-    stream = upload_stream(d.spark, written_sheets(d), target, lambda: d.sides, checkpoint, max_columns=16)
-    stream.trigger(availableNow=True).start().awaitTermination()
-    columns = ["item_id", "item", "mfg_partno", "description", "eau", "commodity", "scope"]
-    return d.spark.read.parquet(f"{target}/lines").select(*columns)
+    """The stored lines of all files that completed; empty cells of a sheet are compared as empty texts."""
+    lines = _stored(d, _uploaded(d), "lines")
+    texts = {c: F.coalesce(c, F.lit("")) for c in ("quote_no", "mfg_partno", "mfg_name", "site")}
+    return lines.withColumns(texts | {c: num(c) for c in _MONEY}).select("file_id", *_UPLOAD_LINES.split(", "), *_MONEY)
+
+
+@query(
+    "ST4_upload_status",
+    f"""SELECT DISTINCT file_id, CASE WHEN file_id IN (SELECT file_id FROM bad_files) THEN 'failed' ELSE 'completed' END AS status,
+    CASE WHEN file_id IN (SELECT file_id FROM bad_files) THEN 'item missing' END AS error_message FROM standard
+  UNION ALL SELECT {_HEADER_ONLY}, 'completed', NULL UNION ALL SELECT {_OTHER_FORMAT}, 'failed', 'Unsupported file format'""",
+    "bad_files",
+)
+def upload_status(d):
+    """The status row of every upload, with the reason of a failure (less the name of the refused file)."""
+    status = d.spark.read.parquet(f"{_uploaded(d)}/status")
+    return status.select(upload_file().alias("file_id"), "status", F.regexp_replace("error_message", ": .*", "").alias("error_message"))
+
+
+@query(
+    "ST4_review_queue",
+    f"""SELECT t.file_id, t.item, t.commodity AS current_commodity, t.scope AS current_scope, n.found AS nearest FROM
+  (SELECT p.*, e.txt, row_number() OVER (PARTITION BY p.file_id ORDER BY p.eau * {sqlx.lowest_price()} DESC, p.line_no) AS rk FROM processed p
+    LEFT JOIN texted e USING (item_id) WHERE p.eau > 0 AND {sqlx.lowest_price()} IS NOT NULL) t
+  LEFT JOIN nearest_text n ON {sqlx.strip('t.txt')} = n.txt WHERE rk <= 10""".replace("std_cost", "p.std_cost").replace("last_purchase_price", "p.last_purchase_price").replace("last_po", "p.last_po"),
+    "processed",
+    "nearest_text",
+)
+def review_queue(d):
+    """The review records that completed uploads have started, with the nearest commodity of searched lines."""
+    reviews = lambda target: review_stream(d.spark, target, lambda: d.refs, scratch_path(d.spark, "review-checkpoint"))
+    target = _uploaded(d, reviews)
+    lines = _stored(d, target, "lines").select("item_id", "item")
+    return _stored(d, target, "reviews").join(lines, "item_id").select(
+        "file_id", "item", "current_commodity", "current_scope", F.get("similar", F.lit(0))["name"].alias("nearest")
+    )
 
 
 @query(

@@ -36,6 +36,24 @@ def written_sheets(d) -> str:
     return path
 
 
+def landed_sheets(d, header_only: int, other_format: int) -> str:
+    """As ``written_sheets``, but one CSV file per sheet, its lines in order and without a column of ids.
+
+    Two more uploads carry the given numbers: a header without lines and a text file.
+    """
+    path = scratch_path(d.spark, "landing")
+    for number, fields in LAYOUTS.items():
+        columns = [F.col(raw).alias(header.strip()) for raw, header in fields.items()]
+        own = d.raw.where(F.col("file_id") % 3 == number).repartition("file_id").sortWithinPartitions("file_id", "line_no", "item_id")
+        writer = own.select("file_id", *columns).write.mode("append").option("header", "true").option("escape", '"')
+        writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").partitionBy("file_id").csv(path)
+    empty = d.spark.createDataFrame([("ITEM,DESCRIPTION",)], "value string").coalesce(1)
+    empty.write.option("compression", "none").format("text").save(f"{path}/file_id={other_format}")
+    head = d.spark.createDataFrame([], "ITEM string, DESCRIPTION string").coalesce(1)
+    head.write.option("header", "true").csv(f"{path}/file_id={header_only}")
+    return path
+
+
 @query(
     "S1_read_sheets",
     "SELECT file_id, item_id, " + ", ".join(f"coalesce({c}, '') AS {c}" for c in _FIELDS) + " FROM raw",
