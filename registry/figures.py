@@ -252,6 +252,22 @@ def work_plan(d):
     return reuse.work_plan(reuse.distinct_texts(texts.union(texts.sparkSession.range(1).select(F.concat(F.repeat(F.lit("long "), 240_000), F.lit("text"))))))
 
 
+_LINE_TEXTS = "SELECT DISTINCT trim(concat_ws(' ', raw_description, item_id), E' \\t\\n\\x0B\\f\\r') AS text FROM raw"
+
+
+@query(
+    "A18_work_plan_of_lines",
+    _PLAN.replace("SELECT DISTINCT trim(text, E' \\t\\n\\x0B\\f\\r') AS text FROM documents UNION SELECT repeat('long ', 240000) || 'text'", _LINE_TEXTS)
+    .replace("position // 20", "position // 10")
+    .replace("250000", "5000"),
+    "raw",
+)
+def work_plan_of_lines(d):
+    """A text of its own for every line: more requests than one span holds."""
+    texts = d.raw.select(F.concat_ws(" ", "raw_description", "item_id").alias("text"))
+    return reuse.work_plan(reuse.distinct_texts(texts), per_request=10, tokens_per_minute=5000)
+
+
 # --- sessions -----------------------------------------------------------------------------------------
 
 _SESSION_COLUMNS = ["session_id", "user_id", "started_at", "ended_at", "duration_seconds", "sign_out_reason"]
