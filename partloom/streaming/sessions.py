@@ -1,100 +1,85 @@
-"""Sessions kept from a stream of login events."""
+"""Sessions kept from a stream of login events.
 
-from __future__ import annotations
+Every batch is a join of the open sessions with its events by the batch operators, so events are ordered by Spark inside
+(user, hour) and no task holds all events of a user. Between batches the open sessions and the latest time seen lie in
+tables below the target, one version per batch.
+"""
 
-from collections.abc import Iterator
-from typing import Any
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 from partloom.functions import rules
+from partloom.operators.sessions import ORPHANED, sessions_from_events
+from partloom.session import delete, scratch, written
 
 SESSION_SCHEMA = (
     "user_id bigint, session_id bigint, started_at timestamp, ended_at timestamp, "
     "duration_seconds bigint, sign_out_reason string"
 )
-_STATE_SCHEMA = "session_id bigint, started_at timestamp"
-
-
-class SessionTracker(StatefulProcessor):
-    """Keeps the open session of a user and emits every session when it closes.
-
-    A timer closes a session that stays open beyond the age limit once the watermark has passed it.
-    """
-
-    def __init__(self, max_age_hours: int = rules.MAX_SESSION_AGE_HOURS):
-        self.max_age_ms = max_age_hours * 3_600_000
+_OPEN_SCHEMA = "user_id bigint, session_id bigint, started_at timestamp"
+_SEEN_SCHEMA = "seen timestamp"
+_EVENT_COLUMNS = ["event_id", "user_id", "ts", "kind"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", _STATE_SCHEMA)
 
-    def _closed(self, user: int, end: pd.Timestamp, reason: str) -> dict[str, Any]:
-        session_id, started = self.open.get()
-        started = pd.Timestamp(started)
-        end = max(end, started)
-        seconds = int((end - started).total_seconds()) if reason == "manual" else None
-        return {
-            "user_id": user,
-            "session_id": session_id,
-            "started_at": started,
-            "ended_at": end,
-            "duration_seconds": seconds,
-            "sign_out_reason": reason,
-        }
+def _before(spark: SparkSession, target: str, name: str, schema: str, batch_id: int) -> DataFrame:
+    """A state table as the batch before has left it."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{target}/{name}/{batch_id - 1}")
 
-    def _drop_timers(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
 
-    @staticmethod
-    def _frame(rows: list[dict[str, Any]]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=[c.split()[0] for c in SESSION_SCHEMA.split(", ")])
-        return frame.astype({"duration_seconds": "Int64"})
+def advance(
+    events: DataFrame, open_sessions: DataFrame, seen: DataFrame, late: str, max_age_hours: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One step: sessions (closed and still open), late events, and the latest time seen.
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # Rows of a batch may come in any order; a user's batch is bounded by the trigger size.
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        out = []
-        for event in batch.itertuples(index=False):
-            if event.kind == "login":
-                if self.open.exists():
-                    out.append(self._closed(key[0], event.ts, "orphaned"))
-                    self._drop_timers()
-                self.open.update((int(event.event_id), event.ts.to_pydatetime()))
-                self.handle.registerTimer(int(event.ts.timestamp() * 1000) + self.max_age_ms)
-            elif self.open.exists():
-                out.append(self._closed(key[0], event.ts, "manual"))
-                self.open.clear()
-                self._drop_timers()
-        if out:
-            yield self._frame(out)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            end = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-            yield self._frame([self._closed(key[0], end, "orphaned")])
-            self.open.clear()
-
-    def close(self) -> None:
-        pass
+    ``seen`` has at most one row. Events more than ``late`` behind it are late and change nothing. Sessions still open when the time
+    seen, less ``late``, is ``max_age_hours`` past their start end there as orphaned.
+    """
+    moves = events.where(F.col("kind").isin("login", "logout")).select(*_EVENT_COLUMNS)
+    border = F.col("border.seen") - F.expr(f"INTERVAL {late}")
+    # One row at most: the latest time of all batches before.
+    marked = moves.join(F.broadcast(seen.alias("border")), F.lit(True), "left").withColumn("is_late", F.coalesce(F.col("ts") < border, F.lit(False)))
+    own = marked.where(~F.col("is_late")).select(*_EVENT_COLUMNS)
+    running = open_sessions.select(F.col("session_id").alias("event_id"), "user_id", F.col("started_at").alias("ts"), F.lit("login").alias("kind"))
+    found = sessions_from_events(running.unionByName(own))
+    now = seen.unionByName(moves.select(F.col("ts").alias("seen"))).agg(F.max("seen").alias("seen"))
+    limit = F.col("started_at") + F.expr(f"INTERVAL {max_age_hours} HOURS")
+    old = F.col("ended_at").isNull() & (limit <= F.col("seen") - F.expr(f"INTERVAL {late}"))
+    aged = found.join(F.broadcast(now), F.lit(True), "left").withColumns(
+        {"sign_out_reason": F.when(old, F.lit(ORPHANED)).otherwise(F.col("sign_out_reason")), "ended_at": F.when(old, limit).otherwise(F.col("ended_at"))}
+    )
+    return aged.drop("seen"), marked.where("is_late").select(*_EVENT_COLUMNS), now
 
 
 def session_stream(
-    events: DataFrame, late: str = "10 minutes", max_age_hours: int = rules.MAX_SESSION_AGE_HOURS
-) -> DataFrame:
-    """Closed sessions of a stream of ``event_id, user_id, ts, kind``.
-
-    Needs the RocksDB state store. Only login and logout events reach the state; the state is one row per
-    user with an open session.
+    events: DataFrame, target: str, checkpoint: str, late: str = "10 minutes", max_age_hours: int = rules.MAX_SESSION_AGE_HOURS
+) -> DataStreamWriter:
+    """Writer that keeps the sessions of a stream of ``event_id, user_id, ts, kind``.
+
+    Closed sessions arrive in ``target/sessions``. An event more than ``late`` behind the latest time of the batches
+    before arrives in ``target/late`` instead and changes no session; a session that was stored as closed stays so.
+    Events of one batch count in the order of their time, then id. A batch replaces its own folders and starts from
+    those of the batch before, so a batch repeated after a failure gives the same tables. The state is one row per user
+    with an open session.
     """
-    moves = events.where(F.col("kind").isin("login", "logout")).withWatermark("ts", late)
-    return moves.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=SessionTracker(max_age_hours),
-        outputStructType=SESSION_SCHEMA,
-        outputMode="append",
-        timeMode="eventTime",
-    )
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{target}/{name}")
+        with scratch(spark):
+            moves = written(batch.select(*_EVENT_COLUMNS), "moves")
+            state = _before(spark, target, "open", _OPEN_SCHEMA, batch_id), _before(spark, target, "seen", _SEEN_SCHEMA, batch_id)
+            found, missed, now = advance(moves, *state, late, max_age_hours)
+            found = written(found, "session-step")
+            put(found.where(F.col("ended_at").isNotNull()).select(*[c.split()[0] for c in SESSION_SCHEMA.split(", ")]), f"sessions/batch={batch_id}")
+            put(missed, f"late/batch={batch_id}")
+            put(found.where(F.col("ended_at").isNull()).select("user_id", "session_id", "started_at"), f"open/{batch_id}")
+            put(now, f"seen/{batch_id}")
+        for name in ("open", "seen"):
+            delete(spark, f"{target}/{name}/{batch_id - 2}")
+
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -292,29 +292,34 @@ def session_table(d):
     "logins",
 )
 def session_table_stream(d):
-    """The log replayed as a stream: sessions closed by events, and by the timer once they are too old."""
-    spark = d.spark
-    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    schema = d.table("events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d.sf_dir)
+    """The log replayed as a stream: sessions closed by events, and by age once they are too old."""
+    target = _replayed(d, d.spark.readStream.schema(d.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(d.sf_dir))
+    return _shown(d.spark.read.parquet(f"{target}/sessions"))
+
+
+def _replayed(d, raw):
+    """Folder of the tables that the session stream leaves."""
     kind = F.when(F.col("event_type") == "signup", "login").when(F.col("event_type") == "error", "logout").otherwise("other")
     events = raw.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
-    out, checkpoint = scratch_path(spark, "session-stream"), scratch_path(spark, "session-checkpoint")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    try:
-        started = (
-            session_stream(events)
-            .writeStream.format("parquet")
-            .option("path", out)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
-        started.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
-    return _shown(spark.read.parquet(out))
+    target = scratch_path(d.spark, "session-stream")
+    session_stream(events, target, scratch_path(d.spark, "session-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return target
+
+
+@query(
+    "ST1_late_events",
+    f"""SELECT event_id, user_id, {sql_stamp('ts')} AS ts, kind, batch FROM (SELECT *, event_id % 3 AS batch,
+    max(ts) FILTER (WHERE kind <> 'other') OVER (ORDER BY event_id % 3 RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM logins)
+  WHERE kind <> 'other' AND ts < seen - INTERVAL 10 MINUTES""",
+    "logins",
+)
+def late_events(d):
+    """The log arrives in three batches by event id, so that most of the later ones is late."""
+    path, log = scratch_path(d.spark, "events"), d.table("events")
+    for batch in range(3):
+        log.where(F.pmod("event_id", F.lit(3)) == batch).coalesce(1).write.mode("append").parquet(path)
+    target = _replayed(d, d.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    return d.spark.read.parquet(f"{target}/late").select("event_id", "user_id", stamp("ts").alias("ts"), "kind", F.col("batch").cast("bigint").alias("batch"))
 
 
 @query(
