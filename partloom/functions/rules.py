@@ -82,6 +82,16 @@ GRADE_COMMERCIAL = "COMMERCIAL"
 ACTIVE_STATUS = "ACTIVE"
 EXCLUDED_LEVEL3 = ["Super Capacitor Module"]
 FILE_STATUSES = ["pending", "column_preview", "queued", "processing", "completed", "failed"]
+# Which status may follow which; a file that ended may be taken up again.
+STATUS_AFTER = {
+    None: ["pending"],
+    "pending": ["column_preview", "queued", "failed"],
+    "column_preview": ["queued", "failed"],
+    "queued": ["processing", "failed"],
+    "processing": ["completed", "failed"],
+    "completed": ["queued"],
+    "failed": ["queued"],
+}
 SIGN_OUT_REASONS = ["manual", "timeout", "orphaned", "forced"]
 
 # --- fixed values: limits -------------------------------------------------------------------------

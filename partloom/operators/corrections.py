@@ -146,12 +146,15 @@ def _default_decision() -> Column:
     )
 
 
+def is_readable(response: Column) -> Column:
+    text = decision_text(response)
+    return F.coalesce((text != "") & F.try_parse_json(text).isNotNull(), F.lit(False))
+
+
 def parse_decision(response: Column) -> Column:
     """Decision struct of a free text; without a readable object nothing is corrected, with low confidence."""
-    text = decision_text(response)
-    parsed = F.from_json(text, DECISION_SCHEMA)
-    readable = (text != "") & F.try_parse_json(text).isNotNull()
-    return F.when(F.coalesce(readable, F.lit(False)), parsed).otherwise(_default_decision())
+    parsed = F.from_json(decision_text(response), DECISION_SCHEMA)
+    return F.when(is_readable(response), parsed).otherwise(_default_decision())
 
 
 def parsed_decisions(responses: DataFrame) -> DataFrame:
@@ -159,10 +162,15 @@ def parsed_decisions(responses: DataFrame) -> DataFrame:
 
     Of several responses for a line the last by number counts, without numbers (or among equals) the greatest text.
     """
+    return last_responses(responses).select("item_id", parse_decision(F.col("response_text")).alias("d")).select("item_id", "d.*")
+
+
+def last_responses(responses: DataFrame) -> DataFrame:
+    """``item_id, response_text``: the response that counts for each line."""
     number = F.col("response_no") if "response_no" in responses.columns else F.lit(None).cast("bigint")
     answered = responses.where(F.col("item_id").isNotNull())
     last = answered.groupBy("item_id").agg(F.max(F.struct(number.alias("n"), F.col("response_text").alias("t"))).alias("r"))
-    return last.select("item_id", parse_decision(F.col("r.t")).alias("d")).select("item_id", "d.*")
+    return last.select("item_id", F.col("r.t").alias("response_text"))
 
 
 def is_applied() -> Column:
@@ -208,6 +216,38 @@ def correction_audit(lines: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+# Why a review of a line has no result.
+UNKNOWN_LINE, NO_RESPONSE, UNREADABLE = "line not found", "no response", "unreadable response"
+
+
+def review_outcomes(asked: DataFrame, lines: DataFrame, responses: DataFrame) -> DataFrame:
+    """One row per asked ``item_id``: the audit of its decision, or ``success`` false with the ``error``.
+
+    A line that is not stored, one without a response and one whose response holds no decision fail alone; the others of
+    the run go on. Ids asked twice are one; a null id is an unknown line.
+    """
+    known = lines.select("item_id", "file_id", F.col("commodity").alias("old_commodity"), F.col("scope").alias("old_scope"))
+    met = asked.select("item_id").distinct().join(known, "item_id", "left").join(last_responses(responses), "item_id", "left")
+    error = (
+        F.when(F.col("file_id").isNull(), UNKNOWN_LINE)
+        .when(F.col("response_text").isNull(), NO_RESPONSE)
+        .when(~is_readable(F.col("response_text")), UNREADABLE)
+    )
+    judged = met.select("*", error.alias("error"), parse_decision(F.col("response_text")).alias("d")).select("*", "d.*")
+    applied = F.col("error").isNull() & is_applied()
+    return judged.select(
+        "item_id",
+        "file_id",
+        F.col("error").isNull().alias("success"),
+        "error",
+        applied.alias("correction_applied"),
+        "old_commodity",
+        "old_scope",
+        F.when(applied, F.col("recommended_commodity")).alias("new_commodity"),
+        F.when(applied, F.col("recommended_scope")).alias("new_scope"),
+    )
+
+
 def run_summary(audit: DataFrame) -> DataFrame:
     """Corrected and reviewed lines per file, average and longest analysis with its line.
 

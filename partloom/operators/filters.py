@@ -47,16 +47,16 @@ def search_lines(lines: DataFrame, query: str | None) -> DataFrame:
 def sibling_lines(lines: DataFrame, of: DataFrame, terms: list[str], n: int = 5) -> DataFrame:
     """Other lines of the same file whose description holds all terms, the first ``n`` per asked line.
 
-    ``of`` holds the asked lines. Matches are cut to ``n + 1`` per file before they meet the asked lines:
-    enough, since at most one of them is the asked line itself.
+    ``of`` holds the asked lines. The first ``n + 1`` matches of a file become one short list, which meets the asked lines by
+    file: enough, since at most one of them is the asked line itself. Asked lines are neither multiplied before the answer nor
+    grouped.
     """
     holds = reduce(lambda a, b: a & b, [F.col("description").ilike(f"%{t}%") for t in terms])
-    matches = first_lines(lines.where(holds), n + 1).select(
-        "file_id", F.col("item_id").alias("sibling_id"), F.col("line_no").alias("sibling_no")
-    )
-    pairs = of.select("file_id", "item_id").join(matches, "file_id").where(F.col("item_id") != F.col("sibling_id"))
-    per_line = pairs.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("sibling_no", "sibling_id"))).alias("s"))
-    return per_line.select("item_id", F.explode(F.slice("s", 1, n)).alias("s")).select("item_id", "s.sibling_id")
+    first = first_lines(lines.where(holds), n + 1)
+    matches = first.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "item_id"))).alias("matches"))
+    others = F.filter("matches", lambda m: m["item_id"] != F.col("item_id"))
+    met = of.select("file_id", "item_id").join(matches, "file_id")
+    return met.select("item_id", F.explode(F.slice(others, 1, n)).alias("s")).select("item_id", F.col("s.item_id").alias("sibling_id"))
 
 
 def files_for(files: DataFrame, viewer_id: int, admin: bool) -> DataFrame:

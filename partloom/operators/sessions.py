@@ -149,3 +149,44 @@ def latest_status(status_rows: DataFrame) -> DataFrame:
     return status_rows.groupBy("file_id").agg(F.max(F.struct("ts", "status", "error_message")).alias("s")).select(
         "file_id", "s.ts", "s.status", "s.error_message"
     )
+
+
+def status_history(status_rows: DataFrame, span: str = "day") -> DataFrame:
+    """Adds ``before`` and ``legal`` to the status events ``file_id, ts, status`` of files, in the order of their time.
+
+    A status that may not follow the one a file is in changes nothing. Equal times go by the order of the life cycle.
+    A file may own much of the log, so no task folds a whole file: the events of a (file, span) are reduced to the status they lead to
+    from every status, spans are folded per file, and the entry of each span is handed back to its events.
+    """
+    names = rules.FILE_STATUSES
+    n = len(names)
+    after = F.array(*[F.array(*[F.lit(f in rules.STATUS_AFTER[s]) for f in names]) for s in [None, *names]])
+    code = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in names]), F.col("status")), F.lit(0)).cast("int")
+    step = lambda state, c: F.when((c > 0) & F.get(F.get(after, state), c - 1), c).otherwise(state)
+    coded = status_rows.withColumns({"code": code, "span": F.date_trunc(span, "ts")})
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ts", "code"))), lambda e: e["code"])
+    spans = coded.groupBy("file_id", "span").agg(ordered.alias("codes"))
+    every = F.sequence(F.lit(0), F.lit(n))
+    leads = F.aggregate("codes", every, lambda states, c: F.transform(states, lambda s: step(s, c)))
+    folded = spans.select("file_id", F.struct("span", leads.alias("leads")).alias("s")).groupBy("file_id").agg(F.sort_array(F.collect_list("s")).alias("spans"))
+    start = F.array(F.struct(F.lit(None).cast("timestamp").alias("span"), F.lit(0).alias("state")))
+    # The state before every span, and the state it leads to as the entry of the next.
+    entries = F.aggregate("spans", start, lambda acc, s: F.concat(acc, F.array(F.struct(s["span"].alias("span"), F.get(s["leads"], F.element_at(acc, -1)["state"]).alias("state")))))
+    entered = folded.select("file_id", F.explode(F.arrays_zip(F.transform("spans", lambda s: s["span"]).alias("span"), F.transform(entries, lambda e: e["state"]).alias("state"))).alias("e"))
+    known = entered.select("file_id", "e.span", F.col("e.state").alias("state")).where("span IS NOT NULL")
+    # Inside a span: state before each event, by its place in the order.
+    walked = spans.join(known, ["file_id", "span"]).select(
+        "file_id", "span", F.aggregate("codes", F.array("state"), lambda acc, c: F.concat(acc, F.array(step(F.element_at(acc, -1), c)))).alias("states")
+    )
+    place = F.row_number().over(Window.partitionBy("file_id", "span").orderBy("ts", "code"))
+    placed = coded.withColumn("place", place).join(walked, ["file_id", "span"])
+    before = F.get("states", F.col("place") - 1)
+    named = placed.withColumns({"before": F.get(F.array(F.lit(None).cast("string"), *[F.lit(x) for x in names]), before), "legal": (F.col("code") > 0) & F.get(F.get(after, before), F.col("code") - 1)})
+    return named.select(*[F.col(f"`{c}`") for c in status_rows.columns], "before", F.coalesce("legal", F.lit(False)).alias("legal"))
+
+
+def legal_status(status_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The status every file is in by its legal events (``file_id, status``), and the events that were not legal."""
+    history = status_history(status_rows)
+    now = F.max_by("status", F.struct("ts", F.array_position(F.array(*[F.lit(x) for x in rules.FILE_STATUSES]), F.col("status"))))
+    return history.where("legal").groupBy("file_id").agg(now.alias("status")), history.where(~F.col("legal"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.functions import rules
@@ -73,6 +73,78 @@ def replace_files(lines: DataFrame, path: str) -> None:
     )
 
 
+def publish(lines: DataFrame, path: str) -> int:
+    """Store the lines of some files as a new version and make it the current one; returns its number.
+
+    Versions lie beside each other in ``path/lines``; a manifest names the version that counts for every file. Until the
+    pointer is moved, in one atomic step and last of all, readers see the former lines, and ``lines`` may be made from
+    them. A run that fails before leaves the former version in place. One writer at a time; a number is never used again by a later run,
+    so what a failed run has left is not read.
+    """
+    spark = lines.sparkSession
+    current = current_version(spark, path)
+    number = max([current if current is not None else -1, *_begun(spark, path)]) + 1
+    _clustered(lines).write.partitionBy("file_id").parquet(f"{path}/lines/version={number}")
+    stored = spark.read.parquet(f"{path}/lines/version={number}").select(F.col("file_id").cast("bigint").alias("file_id")).distinct()
+    manifest = stored.withColumn("version", F.lit(number).cast("bigint"))
+    if current is not None:
+        kept = spark.read.parquet(f"{path}/manifest/{current}").join(stored, "file_id", "left_anti")
+        manifest = kept.unionByName(manifest)
+    manifest.write.parquet(f"{path}/manifest/{number}")
+    _point(spark, path, number)
+    return number
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the current version of every file, as they were when this was called."""
+    current = current_version(spark, path)
+    if current is None:
+        raise ValueError(f"nothing is published in {path}")
+    manifest = spark.read.parquet(f"{path}/manifest/{current}")
+    named = [r["version"] for r in manifest.select("version").distinct().collect()]  # one per run that still counts
+    folders = [f"{path}/lines/version={v}" for v in sorted(named)]
+    lines = spark.read.option("basePath", f"{path}/lines").parquet(*folders)
+    typed = lines.withColumns({c: F.col(c).cast("bigint") for c in ("file_id", "version")})
+    return typed.join(manifest, ["file_id", "version"], "left_semi").drop("version")
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    fs, folder = _file_system(spark, path)
+    pointer = _path(spark, f"{path}/CURRENT")
+    return int(spark.read.text(f"{path}/CURRENT").first()[0]) if fs.exists(pointer) else None
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = _path(spark, path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _begun(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of all versions that were ever begun."""
+    fs, _ = _file_system(spark, path)
+    lines = _path(spark, f"{path}/lines")
+    names = [f.getPath().getName() for f in fs.listStatus(lines)] if fs.exists(lines) else []
+    return [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+
+
+def _point(spark: SparkSession, path: str, number: int) -> None:
+    """Replace the pointer by a renamed file: readers find the old or the new one, never none."""
+    jvm, new, pointer = spark._jvm, _path(spark, f"{path}/NEXT-{number}"), _path(spark, f"{path}/CURRENT")
+    fs, _ = _file_system(spark, path)
+    out = fs.create(new, True)
+    out.write(bytearray(str(number).encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    where = fs.makeQualified(pointer)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), where, options)
+
+
 def without_files(df: DataFrame, deleted: DataFrame) -> DataFrame:
     """Rows whose file was not deleted; applied to files and lines alike."""
     return df.join(deleted.select("file_id").distinct(), "file_id", "left_anti")

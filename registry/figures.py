@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from partloom.functions import rules
 from partloom.operators import analytics, corrections, reuse, sessions
 from partloom.operators.classify import classify_by_similarity, classify_existing
 from partloom.operators.mapping import file_verdicts
@@ -438,6 +439,32 @@ def latest_status(d):
     return sessions.latest_status(log).select("file_id", stamp("ts").alias("ts"), "status")
 
 
+_STEPS = """steps AS (SELECT user_id AS file_id, ts, event_id, (['pending', 'column_preview', 'queued', 'processing', 'completed', 'failed', 'lost'])[1 + event_id % 7] AS status FROM events),
+  -- equal times go by the order of the life cycle
+  placed AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ts, list_position(['lost', 'pending', 'column_preview', 'queued', 'processing', 'completed', 'failed'], status)) AS n FROM steps),
+  walk AS (SELECT file_id, ts, event_id, status, n, CAST(NULL AS VARCHAR) AS before, status = 'pending' AS legal FROM placed WHERE n = 1 UNION ALL
+    SELECT p.file_id, p.ts, p.event_id, p.status, p.n, CASE WHEN w.legal THEN w.status ELSE w.before END,
+      coalesce(list_contains(CASE CASE WHEN w.legal THEN w.status ELSE w.before END WHEN 'pending' THEN ['column_preview', 'queued', 'failed'] WHEN 'column_preview' THEN ['queued', 'failed']
+        WHEN 'queued' THEN ['processing', 'failed'] WHEN 'processing' THEN ['completed', 'failed'] WHEN 'completed' THEN ['queued'] WHEN 'failed' THEN ['queued'] ELSE ['pending'] END, p.status), false)
+    FROM walk w JOIN placed p ON p.file_id = w.file_id AND p.n = w.n + 1)"""
+
+
+def _steps(d):
+    """Every event as a status of a file; one in seven is no status at all."""
+    names = F.array(*[F.lit(x) for x in [*rules.FILE_STATUSES, "lost"]])
+    return d.table("events").select(F.col("user_id").alias("file_id"), "ts", "event_id", F.get(names, F.pmod("event_id", F.lit(7)).cast("int")).alias("status"))
+
+
+@query("ST5_status_history", f"SELECT * FROM (WITH RECURSIVE {_STEPS} SELECT event_id, before, legal FROM walk)")
+def status_history(d):
+    return sessions.status_history(_steps(d)).select("event_id", "before", "legal")
+
+
+@query("ST5_legal_status", f"SELECT * FROM (WITH RECURSIVE {_STEPS} SELECT file_id, arg_max(status, n) AS status FROM walk WHERE legal GROUP BY 1)")
+def legal_status(d):
+    return sessions.legal_status(_steps(d))[0]
+
+
 # --- whole runs ---------------------------------------------------------------------------------------
 
 
@@ -496,11 +523,12 @@ def process(d):
 
 @query(
     "Q0_file_status",
-    "SELECT DISTINCT file_id, CASE WHEN file_id IN (SELECT file_id FROM bad_files) THEN 'failed' ELSE 'completed' END AS status FROM standard",
+    "SELECT DISTINCT file_id, CASE WHEN file_id IN (SELECT file_id FROM bad_files) THEN 'failed' ELSE 'completed' END AS status, "
+    "CASE WHEN file_id IN (SELECT file_id FROM bad_files) THEN 'item missing' END AS error_message FROM standard",
     "bad_files",
 )
 def status_of_files(d):
-    return file_status(file_verdicts(_standard(d))).select("file_id", "status")
+    return file_status(file_verdicts(_standard(d))).select("file_id", "status", "error_message")
 
 
 @query("Q5_file_analytics_of_run", _analytics_joined("processed_enriched"), "processed_enriched")
@@ -565,6 +593,25 @@ def audit(d):
     return rows.select("item_id", "correction_applied", "old_commodity", "old_scope", "new_commodity", "new_scope")
 
 
+@query(
+    "Q6_review_outcomes",
+    """SELECT item_id, e IS NULL AS success, e AS error, e IS NULL AND a AS correction_applied, commodity AS old_commodity, CASE WHEN e IS NULL AND a THEN recommended_commodity END AS new_commodity FROM (
+    SELECT q.item_id, l.commodity, d.recommended_commodity, coalesce(d.should_correct AND d.confidence_level = 'high', false) AS a,
+      CASE WHEN l.item_id IS NULL THEN 'line not found' WHEN r.item_id IS NULL THEN 'no response' WHEN regexp_matches(r.response_text, '(?s)\\{.*\\}') THEN NULL ELSE 'unreadable response' END AS e
+    FROM (SELECT item_id FROM lines UNION ALL SELECT 'x' || item_id FROM lines WHERE eau < 5) q LEFT JOIN lines l USING (item_id)
+    LEFT JOIN decisions d ON d.item_id = q.item_id AND NOT l.auto_mode
+    LEFT JOIN (SELECT * FROM responses QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY response_no DESC) = 1) r ON r.item_id = q.item_id AND NOT l.auto_mode)""",
+    "lines",
+    "decisions",
+)
+def outcomes(d):
+    """All lines are asked, and some that are not stored; lines of files in auto mode get no response."""
+    asked = d.lines.select("item_id").union(d.lines.where("eau < 5").select(F.concat(F.lit("x"), "item_id")))
+    answered = d.responses.join(d.lines.where("NOT auto_mode").select("item_id"), "item_id", "left_semi")
+    found = corrections.review_outcomes(asked, d.lines, answered)
+    return found.select("item_id", "success", "error", "correction_applied", "old_commodity", "new_commodity")
+
+
 @query(
     "Q6_corrected_sheet",
     f"""SELECT {_ENRICHED_SQL} FROM (SELECT * REPLACE (CASE WHEN a THEN recommended_commodity ELSE commodity END AS commodity,

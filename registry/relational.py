@@ -90,6 +90,52 @@ def verdicts(d):
     return mapping.file_verdicts(standardize(d.sheets, d.mapped_files, d.manufacturers)).select("file_id", "valid")
 
 
+_CELL = """CASE WHEN line_no % 13 = 3 THEN 1 ELSE 0 END AS no_item, CASE WHEN line_no % 7 = 1 THEN 1 ELSE 0 END AS cost, CASE WHEN line_no % 11 = 2 THEN 1 ELSE 0 END AS amount,
+    CASE WHEN line_no % 17 = 4 THEN 1 ELSE 0 END AS wide"""
+
+
+@query(
+    "F8_line_problems",
+    f"""SELECT item_id, concat_ws('; ', CASE WHEN wide = 1 THEN 'record too wide' END, CASE WHEN no_item = 1 OR ({sqlx.blank('raw_item')} AND {sqlx.blank('raw_mpn')}) THEN 'item missing' END,
+    CASE WHEN cost = 1 THEN 'std_cost not a number' END, CASE WHEN amount = 1 THEN 'eau not a number' END) AS problems
+  FROM (SELECT *, {_CELL} FROM raw_all)""",
+    "raw_all",
+)
+def broken_lines(d):
+    """Lines with numbers beyond their type, records too wide and missing items."""
+    at = lambda k, n: F.col("line_no") % k == n
+    none = F.lit("")
+    broken = d.raw.withColumns(
+        {
+            "raw_item": F.when(at(13, 3), none).otherwise(F.col("raw_item")),
+            "raw_mpn": F.when(at(13, 3), none).otherwise(F.col("raw_mpn")),
+            "raw_std_cost": F.when(at(7, 1), F.repeat(F.lit("9"), 60)).otherwise(F.col("raw_std_cost")),
+            "raw_eau": F.when(at(11, 2), F.repeat(F.lit("9"), 40)).otherwise(F.col("raw_eau")),
+            "volume_multiplier": F.lit(1),
+            "auto_mode": F.lit(False),
+        }
+    )
+    problems = mapping.line_problems(at(17, 4))
+    return mapping.standard_columns(broken).select("item_id", F.array_join(problems, "; ").alias("problems"))
+
+
+@query(
+    "F8_file_and_session_rows",
+    """SELECT 'file' AS kind, CAST(file_id AS VARCHAR) AS id, concat_ws('; ', CASE WHEN file_id % 5 = 0 THEN 'filename missing' END, CASE WHEN file_id % 3 = 0 THEN 'status unknown' END) AS problems FROM files
+  UNION ALL SELECT 'session', CAST(event_id AS VARCHAR), concat_ws('; ', CASE WHEN event_id % 5 = 0 THEN 'start missing' END, CASE WHEN event_id % 7 = 0 THEN 'reason unknown' END) FROM events""",
+    "files",
+)
+def odd_rows(d):
+    """File rows without a name or with an unknown status, session rows without a start or with an unknown reason."""
+    name, status = F.when(F.col("file_id") % 5 != 0, "a.csv").otherwise(" "), F.when(F.col("file_id") % 3 == 0, "odd").otherwise(F.col("status"))
+    files = d.files.withColumns({"original_filename": name, "status": status})
+    key = F.col("event_id")
+    reason = F.when(key % 7 == 0, "bored").when(key % 2 == 0, "manual")
+    events = d.table("events").withColumns({"started_at": F.when(key % 5 != 0, F.col("ts")), "sign_out_reason": reason})
+    shown = lambda df, kind, i, problems: df.select(F.lit(kind).alias("kind"), F.col(i).cast("string").alias("id"), F.array_join(problems, "; ").alias("problems"))
+    return shown(files, "file", "file_id", filters.file_problems()).unionByName(shown(events, "session", "event_id", filters.session_problems()))
+
+
 @query(
     "F9_little_context",
     r"SELECT doc_id, length(text) < 10 OR len(list_filter(regexp_split_to_array(text, '[,;\s\-_|/]+'), lambda w: length(w) >= 3)) < 2 AS little FROM documents",

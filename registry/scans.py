@@ -277,6 +277,21 @@ def replace_files(d):
     return d.spark.read.parquet(path).select(F.col("file_id").cast("bigint").alias("file_id"), "item_id", "commodity")
 
 
+@query(
+    "S13_reprocess",
+    """SELECT item_id, CASE WHEN auto_mode AND eau < 25 AND std_cost IS NOT NULL THEN 'red ' || split_part(commodity, ' ', 2) ELSE commodity END AS commodity FROM lines""",
+    "lines",
+)
+def reprocess(d):
+    """All files are published; those in auto mode are edited from their stored lines and published again in the same run."""
+    path = scratch_path(d.spark, "published")
+    sinks.publish(d.lines.select("file_id", "item_id", "line_no", "commodity", "auto_mode", "eau", "std_cost"), path)
+    stored = sinks.published(d.spark, path)
+    edited = F.when((F.col("eau") < 25) & F.col("std_cost").isNotNull(), F.concat(F.lit("red "), F.element_at(F.split("commodity", " "), 2)))
+    sinks.publish(stored.where("auto_mode").withColumn("commodity", F.coalesce(edited, "commodity")), path)
+    return sinks.published(d.spark, path).select("item_id", "commodity")
+
+
 @query(
     "S14_delete_files",
     "SELECT item_id FROM lines WHERE file_id NOT IN (SELECT file_id FROM files WHERE status = 'failed')",
