@@ -25,9 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated blocks of lines stay in the first document only; n_chars follows the text."""
-    changed = alignment.line_dedup(docs)
-    length = F.when(F.col("__deleted") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return changed.withColumn("n_chars", length).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return alignment.line_dedup(docs, length="n_chars").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
