@@ -11,8 +11,13 @@ Every window also matches as it is written, in any case of letters and with no c
 starts a sentence may be a name or not: windows with one are looked up both ways, and the check of slots decides; the
 words of ``OPENERS`` are no names there. Windows of which less than half is literal count along an alignment that has
 another window too, but make none by themselves. Items shorter than a window are one window;
-items of fewer than ``FEWEST`` words are not searched. A document leaks an item if ``RUN`` windows of one alignment
-(a run of 13 words) or all of a shorter item's, or half of all the item's windows, are found.
+items of fewer than ``FEWEST`` words are found where a whole line or text consists of them. A document leaks an item if
+``RUN`` windows of one alignment (a run of 13 words) or all of a shorter item's, or half of all the item's windows, are found.
+
+A window that items of more than ``COMMON`` different templates hold (the prompt of a whole benchmark) says nothing of one
+item: it counts along an alignment that another window has made, and the rule above must also hold for the item's other
+windows alone. An item that has none but such windows must be found whole, starting from its rarest one. So a shared
+prompt joins no documents with items. Items of the same text are searched once.
 
 Edge cases: null texts have no windows; rows without a document or item id are left out of the result; rows that repeat
 an id are the same document or item; an empty table on either side gives no rows.
@@ -26,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.llm.common import TokenTable, flags, hash64, rolled, slices
 from partloom.session import written
 
-WIDTH, FEWEST, RUN = 8, 5, 6
+WIDTH, FEWEST, RUN, COMMON = 8, 5, 6, 16
 BITS = 23
 # Unit words that may follow a number.
 UNITS = frozenset(
@@ -87,8 +93,8 @@ class Templates:
     def __init__(self):
         self.tokens = TokenTable(facts)
 
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Text number, place in the text, bare word and template words (equal unless a slot) of every word.
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Text and line number, place in the text, bare word and template words (equal unless a slot) of every word.
 
         There are two templates: without and with names where sentences start.
         """
@@ -104,7 +110,7 @@ class Templates:
         real = (flags & EMPTY) == 0
         # A start passes over tokens without a word (bullets, dashes) to the next word.
         after_stop = np.diff(np.cumsum(starts)[real], prepend=0) > 0
-        owner, flags, word = owner[real], flags[real], seen["word"][real]
+        owner, line, flags, word = owner[real], line[real], flags[real], seen["word"][real]
         number = (flags & IS_NUMBER) > 0
         follows = np.append(False, number[:-1] & (owner[1:] == owner[:-1])) if len(owner) else number
         shapes = []
@@ -116,7 +122,14 @@ class Templates:
             shape[number] = HOLDER["<number>"]
             shapes.append(shape)
         start = np.searchsorted(owner, np.arange(len(texts)))
-        return owner, np.arange(len(owner)) - start[owner] if len(owner) else owner, word, shapes
+        return owner, line, np.arange(len(owner)) - start[owner] if len(owner) else owner, word, shapes
+
+    @staticmethod
+    def whole(parts: np.ndarray, word: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of the parts (lines or texts, numbered in ``parts``) of exactly ``width`` words."""
+        starts = np.flatnonzero(np.diff(parts, prepend=-1))
+        at = starts[np.diff(np.append(starts, len(parts))) == width]
+        return at, rolled(word, width)[at]
 
     @staticmethod
     def windows(owner: np.ndarray, word: np.ndarray, shapes: list[np.ndarray], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -145,22 +158,26 @@ def _slots(word, shape, at, width) -> list[list[int]]:
 
 
 WINDOWS = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("window", pa.int64()), ("slots", pa.list_(pa.int64())), ("level", pa.int32())])
+OF_ITEMS = [("width", pa.int64()), ("n_windows", pa.int64()), ("template", pa.int64())]
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of the items, with the number of words of a window and of windows of the item."""
+    """Windows of the items, with the words of a window, the windows of the item and the hash of its whole template."""
     reader = Templates()
-    schema = WINDOWS.append(pa.field("width", pa.int64())).append(pa.field("n_windows", pa.int64()))
+    schema = pa.schema([*WINDOWS, *(pa.field(*each) for each in OF_ITEMS)])
     for batch in batches:
         for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            owner, place, word, shapes = reader.read([text])
-            if len(owner) < FEWEST:
+            owner, _, place, word, shapes = reader.read([text])
+            if not len(owner):
                 continue
             width = min(WIDTH, len(owner))
             n_windows = len(owner) - width + 1
-            for level, template, at, window in reader.windows(owner, word, shapes, width):
+            template = xxhash.xxh64_intdigest(shapes[1].tobytes()) - (1 << 63)
+            searched = reader.windows(owner, word, shapes, width)
+            for level, shape, at, window in searched if width >= FEWEST else [(WRITTEN, word, *reader.whole(owner, word, width))]:
                 n = len(at)
-                columns = [[ident] * n, place[at], window.view(np.int64), _slots(word, template, at, width), [level] * n, [width] * n, [n_windows] * n]
+                slots = _slots(word, shape, at, width)
+                columns = [[ident] * n, place[at], window.view(np.int64), slots, [level] * n, [width] * n, [n_windows] * n, [template] * n]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
@@ -185,9 +202,13 @@ def _document_windows(shared, widths: list[int]):
         for batch in batches:
             for part in slices(batch, 128):
                 idents = part.column(0)
-                owner, place, word, shapes = reader.read([t or b"" for t in part.column(1).to_pylist()])
+                owner, line, place, word, shapes = reader.read([t or b"" for t in part.column(1).to_pylist()])
                 for width in widths:
-                    for level, template, at, window in reader.windows(owner, word, shapes, width):
+                    if width >= FEWEST:
+                        searched = reader.windows(owner, word, shapes, width)
+                    else:
+                        searched = ((WRITTEN, word, *reader.whole(parts, word, width)) for parts in (line, owner))
+                    for level, template, at, window in searched:
                         hit = known[_first(window)]
                         at, window = at[hit], window[hit]
                         hit = known[_second(window)]
@@ -205,11 +226,11 @@ def _paired(met: DataFrame) -> DataFrame:
     """Windows of documents and items that met, by alignment."""
     level = F.greatest("level", "item_level").alias("level")
     met = met.where(F.size("slots") == F.size("item_slots"))
-    return met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "n_windows", "item_at", level, "item_slots", "slots")
+    return met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "n_windows", "n_own", "own", "item_at", level, "item_slots", "slots")
 
 
 def _steady(paired: DataFrame) -> DataFrame:
-    """Windows found and values changed per alignment, up to the level at which a value stands for two.
+    """Windows found, those of them that are not common, and values changed per alignment, up to the level at which a value stands for two.
 
     What is found as written has no slots, so a contradiction among templates takes only the templates away.
     """
@@ -221,44 +242,85 @@ def _steady(paired: DataFrame) -> DataFrame:
         F.get(F.sort_array(F.collect_list("level")), F.lit(1)).alias("until"), F.collect_list(F.when(F.col("asked") != F.col("given"), F.col("level"))).alias("changed")
     )
     limits = asked.groupBy(*ALIGNMENT).agg(F.coalesce(F.min("until"), F.lit(NEVER)).alias("until"), F.flatten(F.collect_list("changed")).alias("changed"))
-    windows = paired.groupBy(*ALIGNMENT, "item_at").agg(F.min("level").alias("level"), F.max("n_windows").alias("n_windows"))
+    windows = paired.groupBy(*ALIGNMENT, "item_at").agg(
+        F.min("level").alias("level"), F.min(F.when(F.col("own"), F.col("level"))).alias("own_level"), *[F.max(n).alias(n) for n in ("n_windows", "n_own")]
+    )
     within = windows.join(limits, ALIGNMENT, "left").withColumn("until", F.coalesce("until", F.lit(NEVER))).where("level < until")
     changed = F.size(F.filter(F.coalesce("changed", F.array().cast("array<int>")), lambda level: level < F.col("until")))
-    return within.groupBy(*ALIGNMENT).agg(F.max("n_windows").alias("n_windows"), F.count("*").alias("found"), F.max(changed).cast("bigint").alias("changed"))
+    return within.groupBy(*ALIGNMENT).agg(
+        *[F.max(n).alias(n) for n in ("n_windows", "n_own")],
+        F.count("*").alias("found"),
+        F.count_if(F.col("own_level") < F.col("until")).alias("own"),
+        F.max(changed).cast("bigint").alias("changed"),
+    )
+
 
+def _weighed(items: DataFrame, common: int) -> DataFrame:
+    """Windows of the items with ``own`` (not common), ``n_own`` (own windows of the item) and ``makes`` (makes alignments)."""
+    asked = items.select(
+        F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "window", "n_windows", F.col("level").alias("item_level"), "template"
+    ).distinct()
+    held = asked.groupBy("window").agg(F.count_distinct("template").alias("held"))
+    asked = asked.join(held, "window").withColumn("own", F.col("held") <= common)
+    per_item = asked.groupBy("item_id").agg(
+        F.count_distinct(F.when(F.col("own"), F.col("item_at"))).alias("n_own"),
+        F.min(F.when(F.col("item_level") < DENSE, F.struct("held", "item_at", "window"))).alias("rarest"),
+    )
+    open_ = F.col("item_level") < DENSE
+    rarest = (F.col("n_own") == 0) & (F.struct("held", "item_at", "window") == F.col("rarest"))
+    return asked.join(per_item, "item_id").withColumn("makes", open_ & (F.col("own") | rarest)).drop("rarest", "held", "template")
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+
+def leaks(docs: DataFrame, benchmark: DataFrame, common: int = COMMON) -> DataFrame:
     """One row per document (doc_id, text) and benchmark item (item_id, text) that it leaks.
 
-    Columns: doc_id, item_id, ``n_found`` windows of ``n_windows``, ``run`` (most windows of one alignment), and
-    ``n_changed``, the slots whose value differs from the item's.
+    Columns: doc_id, item_id, ``n_found`` windows of ``n_windows``, ``run`` (most windows of one alignment),
+    ``n_changed``, the slots whose value differs from the item's, and ``short``, true for items of fewer than ``FEWEST`` words.
     """
     texts = lambda rows, key: rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, F.col("text").cast("binary"))
     schema = "id bigint, at bigint, window bigint, slots array<bigint>, level int"
-    items = written(texts(benchmark, "item_id").mapInArrow(_item_windows, f"{schema}, width bigint, n_windows bigint"), "item-windows")
+    known = written(texts(benchmark, "item_id").distinct().withColumn("first", F.sha2("text", 256)), "items")
+    # Items of the same text are searched as the first of them.
+    firsts = known.groupBy("first").agg(F.min("item_id").alias("item_id"), F.min("text").alias("text"))
+    members = known.select("item_id", "first").join(firsts.select("first", F.col("item_id").alias("searched")), "first").select("searched", "item_id")
+    of_items = f"{schema}, width bigint, n_windows bigint, template bigint"
+    items = written(firsts.select("item_id", "text").mapInArrow(_item_windows, of_items), "item-windows")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # WIDTH values at most
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(items))
     found = written(texts(docs, "doc_id").mapInArrow(_document_windows(shared, widths), schema), "document-windows")
     found = found.withColumnRenamed("id", "doc_id").distinct()
 
-    asked = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "window", "n_windows", F.col("level").alias("item_level")).distinct()
-    open_ = found.where(F.col("level") < DENSE).join(asked.where(F.col("item_level") < DENSE), "window")
+    asked = written(_weighed(items, common), "weighed-windows")
+    open_ = found.where(F.col("level") < DENSE).join(asked.where("makes"), "window")
     paired = written(_paired(open_), "window-pairs")
-    # Dense windows are looked up where an alignment expects them, never by their template alone.
-    expected = paired.select(*ALIGNMENT).distinct().join(asked.where(F.col("item_level") == DENSE), "item_id")
+    # Dense and common windows are looked up where an alignment expects them, never by their template alone.
+    expected = paired.select(*ALIGNMENT).distinct().join(asked.where("NOT makes"), "item_id")
     expected = expected.withColumn("at", F.col("shift") + F.col("item_at")).drop("shift")
-    dense = _paired(found.where(F.col("level") == DENSE).join(expected, ["doc_id", "at", "window"]))
-    paired = written(paired.unionByName(dense), "aligned-windows")
+    rest = found.join(expected, ["doc_id", "at", "window"]).where((F.col("level") == DENSE) == (F.col("item_level") == DENSE))
+    paired = written(paired.unionByName(_paired(rest)), "aligned-windows")
     steady = _steady(paired)
     each = steady.groupBy("doc_id", "item_id").agg(
-        F.max("n_windows").alias("n_windows"), F.max("found").alias("run"), F.least(F.sum("found"), F.max("n_windows")).alias("n_found"), F.max("changed").alias("n_changed")
-    )
-    return each.where((F.col("run") >= F.least(F.lit(RUN), "n_windows")) | (2 * F.col("n_found") >= F.col("n_windows"))).select(
-        "doc_id", "item_id", "n_found", "n_windows", "run", "n_changed"
+        *[F.max(n).alias(n) for n in ("n_windows", "n_own", "changed")],
+        F.max("found").alias("run"),
+        F.least(F.sum("found"), F.max("n_windows")).alias("n_found"),
+        F.max("own").alias("own_run"),
+        F.least(F.sum("own"), F.max("n_own")).alias("own_found"),
     )
 
+    def enough(run: str, n_found: str, of: str) -> Column:
+        return (F.col(run) >= F.least(F.lit(RUN), of)) | (2 * F.col(n_found) >= F.col(of))
+
+    own = F.when(F.col("n_own") == 0, F.col("run") >= F.col("n_windows")).otherwise(enough("own_run", "own_found", "n_own"))
+    leaked = each.where(enough("run", "n_found", "n_windows") & own).withColumnRenamed("item_id", "searched").withColumnRenamed("changed", "n_changed")
+    short = items.groupBy("id").agg((F.max("width") < FEWEST).alias("short")).withColumnRenamed("id", "searched")
+    measures = ["n_found", "n_windows", "run", "n_changed", "short"]
+    return leaked.join(short, "searched").join(members, "searched").groupBy("doc_id", "item_id").agg(*[F.max(m).alias(m) for m in measures])
+
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` less the documents that leak an item; columns as they come."""
-    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
+    """``docs`` less the documents that leak an item; columns as they come.
+
+    A line that is an item of fewer than ``FEWEST`` words ("Yes", "See also") is reported by ``leaks`` and rejects nothing.
+    """
+    gone = leaks(docs, benchmark).where("NOT short").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -43,6 +43,36 @@ def test_part_of_an_item_and_short_items(spark):
     assert found(spark, texts, [(1, " ".join(item)), (2, " ".join(item[:6])), (3, " ".join(item[:4]))]) == [(1, 1), (3, 2)]
 
 
+def test_items_of_few_words_are_found_as_whole_lines_or_texts(spark):
+    texts = [(1, "some text\nSee also: this\nmore text"), (2, "see ALSO\nthis"), (3, "see also this one"), (4, "yes"), (5, "well yes")]
+    items = [(1, "See also this"), (2, "Yes"), (3, "..."), (4, "")]
+    assert found(spark, texts, items) == [(1, 1), (2, 1), (4, 2)]
+    kept = templates.clean(documents(spark, texts), spark.createDataFrame(items, ITEM))
+    assert rows(kept, "doc_id") == [(1,), (2,), (3,), (4,), (5,)]
+
+
+def test_a_shared_prompt_leaks_no_item_and_makes_no_pairs(spark):
+    rng = random.Random(8)
+    prompt = "answer the following multiple choice question with one of the four letters given below"
+    items = [(k, f"{prompt} {' '.join(words(rng, 12))}") for k in range(60)]
+    own = [" ".join(words(rng, 30)) for _ in range(40)]
+    texts = [(k, f"{own[k]}. {prompt} {own[k]}") for k in range(40)] + [(100 + k, f"{own[k]} {items[k][1]} {own[k]}") for k in range(5)]
+    assert found(spark, texts, items) == [(100 + k, k) for k in range(5)]
+    # The end of an item that differs from others by one word, and an item that is nothing but the prompt.
+    ends = [(k, f"{prompt} end{w}") for k, w in enumerate(words(rng, 40))]
+    same = [(100, ends[7][1]), (200, prompt)]
+    texts = [(1, f"{own[0]} {ends[7][1]} {own[1]}"), (2, f"{own[0]} {prompt} {own[1]}"), (3, f"{own[0]} {prompt[:60]} {own[1]}")]
+    got = found(spark, texts, ends + same)
+    twins = {k for k, text in ends if text == ends[7][1]}
+    assert {i for d, i in got if d == 1} == twins | {100, 200} and [i for d, i in got if d == 2] == [200] and not [i for d, i in got if d == 3]
+
+
+def test_many_items_of_one_template_are_still_found_with_other_values(spark):
+    fill = lambda n: f"A farmer has {n} sheep and buys {n + 3} goats, how many animals are there on the farm now?"
+    items = [(k, fill(10 + k)) for k in range(30)]
+    assert sorted(found(spark, [(1, fill(900))], items)) == [(1, k) for k in range(30)]
+
+
 def test_odd_rows(spark):
     assert found(spark, ODD, [(1, QUESTION), (1, QUESTION), (None, QUESTION), (2, None), (3, "")]) == []
     assert found(spark, [(1, QUESTION), (1, QUESTION), (None, QUESTION)], [(1, QUESTION), (1, QUESTION)]) == [(1, 1)]
