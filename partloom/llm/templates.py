@@ -66,8 +66,27 @@ FACTS = np.dtype([("word", "u8"), ("flags", "u1")])
 HOLDER = {name: np.uint64(hash64(name.encode())) for name in ("<number>", "<name>", "<unit>", "<quantity>")}
 
 
+_UNITS, _OPENERS = (frozenset(w.encode() for w in words) for words in (UNITS, OPENERS))
+
+
 def facts(token: bytes) -> tuple[int, int]:
     """Hash of the bare word and what can be said of it without its neighbours."""
+    core = token.rstrip(b".,;:!?")
+    if not core.isalpha():  # for bytes: letters a to z
+        return _facts(token)
+    word = core.lower()
+    flags = STOPS if token.endswith((b".", b"!", b"?", b":")) else 0
+    if core[:1].isupper() and not core[1:].isupper():
+        flags |= CAPITAL
+    if word in _UNITS:
+        flags |= IS_UNIT
+    if word in _OPENERS:
+        flags |= OPENS
+    return hash64(word), flags
+
+
+def _facts(token: bytes) -> tuple[int, int]:
+    """``facts`` of any token; plain words take the shorter way above."""
     text = token.decode("utf-8", "replace")
     bare = text.strip(_STRIP)
     word = bare.casefold()

@@ -112,3 +112,10 @@ def test_windows_of_few_literal_words_support_an_alignment(spark):
     item, other, numbers = fill(range(10, 25)), fill(range(70, 85)), " ".join(map(str, range(70, 100)))
     got = templates.leaks(documents(spark, [(1, other), (2, numbers)]), spark.createDataFrame([(1, item), (2, " ".join(map(str, range(10, 25))))], ITEM))
     assert rows(got, "doc_id", "item_id", "n_found", "n_windows") == [(1, 1, 16, 16)]
+
+
+def test_plain_words_are_read_like_any_other_token():
+    rng = random.Random(9)
+    parts = ["km", "The", "Maria", "USA", "A", "x", "%", "12", "é", "ß", ".", ",", ":", "!", "?", ";", "'", ")", "-", "…"]
+    tokens = ["".join(rng.choices(parts, k=rng.randint(1, 4))).encode() for _ in range(20_000)] + [b"", b"\xff", b"kg."]
+    assert [templates.facts(t) for t in tokens] == [templates._facts(t) for t in tokens]
