@@ -141,6 +141,20 @@ def test_lookup_ignores_case_and_takes_lowest_id(spark):
     assert got["x"]["id"] == 1 and got["y"] is None
 
 
+def test_first_edited_key_decides(spark):
+    old = spark.createDataFrame(
+        [(1, "o1", 1, "A", "red box"), (1, "o2", 2, "B", "blue box"), (1, "o3", 3, None, "grey"), (2, "o4", 1, "A", "red box"), (1, "o5", 9, "A", "x")],
+        "file_id bigint, item_id string, line_no int, item string, description string",
+    )
+    edits = spark.createDataFrame([(1, "o1", "E1"), (1, "o2", "E2"), (1, "o3", "E3"), (2, "o4", " "), (1, "o5", "E5")], "file_id bigint, item_id string, new_commodity string")
+    new = [(1, "n1", "A", "blue box"), (1, "n2", "C", " red box "), (1, "n3", None, "grey"), (2, "n4", "A", "red box"), (1, "n5", None, None), (1, "n6", "", "|grey")]
+    lines = spark.createDataFrame(new + [(1, f"m{k}", f"Z{k}", f"other {k}") for k in range(50)], "file_id bigint, item_id string, item string, description string")
+    got = {r.item_id: r.edited_commodity for r in remap.line_edits_for(lines, old, edits).collect()}
+    assert len(got) == 56 and {k: v for k, v in got.items() if v} == {"n1": "E1", "n2": "E1", "n3": "E3", "n6": "E3"}  # one name space of keys
+    none = remap.line_edits_for(lines, old.limit(0), edits)
+    assert none.count() == 56 and none.where("edited_commodity IS NOT NULL").count() == 0
+
+
 def test_bulk_change_keeps_blank_targets(spark):
     lines = spark.createDataFrame(
         [(1, "a", "PACK BROWN BOX"), (1, "b", "PACK LABELS")], "file_id bigint, item_id string, commodity string"
