@@ -33,18 +33,12 @@ def reference_details(references: DataFrame) -> DataFrame:
 
 
 def _candidate_block() -> Column:
+    """One candidate of a prompt: its place, how near it is, scope, first part numbers, and the text that was embedded."""
     return F.concat_ws(
         "\n",
-        F.concat(
-            F.lit("**"), F.col("rank"), F.lit(". "), F.col("name"), F.lit(" ("),
-            F.format_string("%.2f", F.col("percent")), F.lit("% similarity)**"),
-        ),
-        F.concat(F.lit("- Scope: "), F.coalesce("ref_scope", F.lit(""))),
-        F.concat(F.lit("- Category: "), F.col("category")),
-        F.concat(F.lit("- Keywords: "), F.coalesce("keyword", F.lit("None"))),
-        F.concat(F.lit("- Typical manufacturers: "), F.coalesce("mfr", F.lit("None"))),
-        F.concat(F.lit("- Sample MPNs: "), sample_mpns(F.col("typical_mpns"))),
-        F.concat(F.lit("- Text: "), F.regexp_replace("ref_text", "\n", " | ")),
+        F.concat(F.col("rank"), F.lit(") "), F.col("name"), F.lit(", "), F.format_string("%.2f", F.col("percent")), F.lit(" percent alike")),
+        F.concat(F.lit("   "), F.coalesce("ref_scope", F.lit("no scope")), F.lit("; parts "), sample_mpns(F.col("typical_mpns"))),
+        F.concat(F.lit("   "), F.regexp_replace("ref_text", "\n", "\n   ")),
     )
 
 

@@ -110,11 +110,9 @@ def detect_hierarchy_column(
         F.max("score").alias("best_score"),
         F.min_by("header", "pos").alias("first_candidate"),
     )
-    any_value = references.where(F.col(_CATALOGUE_COLUMN[target]).isNotNull()).limit(1).count() > 0
-    chosen = (
-        F.when(F.col("best_score") > rules.HIERARCHY_THRESHOLDS[target], F.col("best"))
-        if any_value
-        else F.col("first_candidate")
+    values = references.agg(F.count(_CATALOGUE_COLUMN[target])).scalar()
+    chosen = F.when(values == 0, F.col("first_candidate")).when(
+        F.col("best_score") > rules.HIERARCHY_THRESHOLDS[target], F.col("best")
     )
     return best.select(file, chosen.alias("header")).where(F.col("header").isNotNull())
 

@@ -574,13 +574,36 @@ def prompts(d):
     return records.select(
         "item_id",
         F.contains("analysis_prompt", "embedding_text").alias("has_text"),
-        (F.size(F.split("analysis_prompt", "% similarity")) - 1).alias("candidates"),
+        (F.size(F.split("analysis_prompt", " percent alike\n")) - 1).alias("candidates"),
         (F.contains("correction_prompt", F.lit('"should_correct"')) & ~F.contains("analysis_prompt", F.lit('"should_correct"'))).alias(
             "asks_decision"
         ),
     )
 
 
+_CANDIDATE = f"""rank || ') ' || level3 || ', ' || CAST(CAST(round(sim * 100, 2) AS DECIMAL(10,2)) AS VARCHAR) || ' percent alike' || chr(10)
+    || '   ' || coalesce(base_scope, 'no scope') || '; parts ' || coalesce(array_to_string(list_slice(string_split(typical_mpns, ','), 1, 3), ', '), 'None')
+    || chr(10) || '   ' || replace(ref_text, chr(10), chr(10) || '   ')"""
+
+
+@query(
+    "T13_whole_prompts",
+    f"""SELECT item_id, concat_ws(chr(10) || chr(10), 'Review the commodity assigned to this electronic component.', 'Line: ' || item_id,
+    'Description: ' || coalesce(description, ''), 'Manufacturer: ' || coalesce(mfg_name, ''), 'MPN: ' || coalesce(mfg_partno, ''),
+    'Assigned commodity: ' || coalesce(commodity, ''), 'Assigned scope: ' || coalesce(scope, ''), 'Embedded text:' || chr(10) || own,
+    'Most similar commodities:' || chr(10) || string_agg({_CANDIDATE}, chr(10) || chr(10) ORDER BY rank),
+    'State whether the assignment is right and why, which parts of MPN, description or manufacturer support it, whether to keep or change it, which keywords the catalogue lacks, and how sure you are.') AS prompt
+  FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, id) AS rank FROM (
+    SELECT t.* EXCLUDE (v), r.id, r.level3, r.base_scope, r.typical_mpns, {sqlx.ref_text('r.')} AS ref_text, round({sqlx.cosine('t.v', 'r.embedding')}, 12) AS sim
+    FROM (SELECT item_id, description, mfg_name, mfg_partno, commodity, scope, {sqlx.stored_text()} AS own, {sqlx.stand_in('description')} AS v FROM {_TOP}) t CROSS JOIN refs r))
+  WHERE rank <= 10 GROUP BY item_id, description, mfg_name, mfg_partno, commodity, scope, own""",
+    "lines",
+    "refs",
+)
+def whole_prompts(d):
+    return review_candidates(_embedded_lines(d), d.refs).select("item_id", F.col("analysis_prompt").alias("prompt"))
+
+
 @query(
     "Q6_correction_audit",
     """SELECT item_id, a AS correction_applied, commodity AS old_commodity, scope AS old_scope, CASE WHEN a THEN recommended_commodity END AS new_commodity,

@@ -308,6 +308,30 @@ def parse_conversations(d):
     return d.table("conversations").select("conv_id", "turn", plain.alias("defaulted"))
 
 
+_KIND = "(turn + conv_id) % 4"
+
+
+@query(
+    "T14_decisions_in_talk",
+    f"""SELECT conv_id, turn, r < 2 AS should_correct, CASE WHEN r < 2 THEN 'high' ELSE 'low' END AS confidence_level, CASE WHEN r < 2 THEN role END AS recommended_commodity
+  FROM (SELECT conv_id, turn, role, CASE WHEN text IS NULL THEN 2 ELSE {_KIND} END AS r FROM conversations)""",
+)
+def decisions_in_talk(d):
+    """Turns with a decision in a fence between words, behind words, cut off in the middle, or without one."""
+    decision = F.concat(F.lit('{"should_correct": true, "confidence_level": "high", "recommended_commodity": "'), "role", F.lit('"'))
+    # The turn's own braces and fences would be decisions of their own.
+    words = F.translate("text", "{}`", "   ")
+    kind = F.expr(_KIND)
+    answer = (
+        F.when(kind == 0, F.concat(words, F.lit("\n```json\n"), decision, F.lit("}\n```\n"), words))
+        .when(kind == 1, F.concat(words, F.lit(" {so} "), words, decision, F.lit("}")))
+        .when(kind == 2, F.concat(words, decision))
+        .otherwise(words)
+    )
+    turns = d.table("conversations").select("conv_id", "turn", corrections.parse_decision(answer).alias("p"))
+    return turns.select("conv_id", "turn", "p.should_correct", "p.confidence_level", "p.recommended_commodity")
+
+
 @query(
     "T15_stand_in_embedding",
     "SELECT doc_id, round(list_sum(CAST(v AS DOUBLE[])), 5) AS total, round(CAST(v[1] AS DOUBLE), 5) AS head, round(CAST(v[64] AS DOUBLE), 5) AS tail "

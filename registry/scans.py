@@ -400,6 +400,79 @@ def score_level1(d):
     return scored.select("file_id", "header", "score")
 
 
+# Rival columns of one target: texts of a column by header, the raw field they hold and the lines in which they hold it.
+_RIVALS = {
+    "Level2 old": ("raw_global_code", "line_no % 3 = 0", "item_id"),
+    "My Level 2": ("raw_global_code", "file_id % 4 <> 0", "file_id"),
+    "LEVEL_2": ("raw_global_code", "line_no % 2 = 0 OR file_id % 4 = 1", "line_no"),
+    "global_comm_code (own)": ("raw_item", "file_id % 2 = 0", "file_id"),
+    "Global_Commodity_Code": ("raw_global_code", "file_id % 5 <> 0", "item_id"),
+    "GLOBAL COMM CODE": ("raw_global_code", "line_no % 3 <> 1", "item_id"),
+    "Level1": ("raw_level1", "line_no % 4 <> 2", "item_id"),
+    "ITEM": ("raw_item", "true", "item_id"),
+    "LEVEL3_DESC": ("raw_level3", "file_id % 3 <> 1", "item_id"),
+}
+
+
+def _rival_sheets(d):
+    """Headers by position and sheet rows of files in which several columns claim to be the same target."""
+    cells = [F.expr(f"CASE WHEN {when} THEN {raw} ELSE CAST({other} AS STRING) END") for raw, when, other in _RIVALS.values()]
+    headers = d.files.select("file_id", F.array(*[F.lit(h) for h in _RIVALS]).alias("headers"))
+    return headers, d.raw.select("file_id", "item_id", "line_no", F.array(*cells).alias("values"))
+
+
+_RIVAL_SAMPLE = "(SELECT * FROM raw_all QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY line_no) <= 5)"
+_RIVAL_CELLS = " UNION ALL ".join(
+    f"SELECT file_id, {pos} AS pos, {sqlx.q(h)} AS header, CASE WHEN {when} THEN {raw} ELSE CAST({other} AS VARCHAR) END AS cell FROM {_RIVAL_SAMPLE}"
+    for pos, (h, (raw, when, other)) in enumerate(_RIVALS.items())
+)
+
+
+def _found_by_content(target: str, column: str) -> str:
+    """Best rival of a target: share of distinct cells that the catalogue knows, ties to the left, above the threshold."""
+    named = " OR ".join(f"contains(lower(header), {sqlx.q(h)})" for h in rules.HIERARCHY_HEADERS[target])
+    return f"""SELECT file_id, arg_max(header, score * 1000 - pos) AS header FROM (
+    SELECT file_id, pos, header, avg(CASE WHEN {sqlx.squeeze('v')} IN (SELECT {sqlx.squeeze(column)} FROM refs_plain) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS score
+    FROM (SELECT DISTINCT file_id, pos, header, {sqlx.strip('cell')} AS v FROM ({_RIVAL_CELLS}) WHERE ({named}) AND cell IS NOT NULL)
+    WHERE v <> '' GROUP BY 1, 2, 3) GROUP BY 1 HAVING max(score) > {rules.HIERARCHY_THRESHOLDS[target]}"""
+
+
+def _by_content(d, target: str):
+    headers, rows = _rival_sheets(d)
+    return mapping.detect_hierarchy_column(sheets.header_table(headers), sheets.sample_values(rows, headers), d.refs_plain, target)
+
+
+@query("P3_detect_level2", _found_by_content("LEVEL2_DESC", "level2"), "raw_all", "refs_plain")
+def detect_level2(d):
+    return _by_content(d, "LEVEL2_DESC")
+
+
+@query("P3_detect_global_code", _found_by_content("GLOBAL_COMM_CODE_DESC", "global_code"), "raw_all", "refs_plain")
+def detect_global_code(d):
+    return _by_content(d, "GLOBAL_COMM_CODE_DESC")
+
+
+def _merged_sql() -> str:
+    """Header rules for every target; the level columns found by content take their targets over."""
+    rival_headers = ", ".join(f"({pos}, {sqlx.q(h)})" for pos, h in enumerate(_RIVALS))
+    ruled = " UNION ALL ".join(
+        f"SELECT {sqlx.q(t)} AS target, arg_min(header, pos) AS header FROM (VALUES {rival_headers}) v(pos, header) WHERE {test}"
+        for t, test in _TOKEN_TESTS.items()
+    )
+    found = " UNION ALL ".join(
+        f"SELECT file_id, {sqlx.q(t)} AS target, header FROM ({_found_by_content(t, c)})"
+        for t, c in (("LEVEL1_DESC", "level1"), ("LEVEL2_DESC", "level2"), ("LEVEL3_DESC", "level3"))
+    )
+    return f"""SELECT file_id, target, header FROM ({found})
+  UNION ALL SELECT file_id, target, header FROM files CROSS JOIN ({ruled}) WHERE header IS NOT NULL AND (file_id, target) NOT IN (SELECT (file_id, target) FROM ({found}))"""
+
+
+@query("P3_merged_mapping", _merged_sql(), "files", "raw_all", "refs_plain")
+def merged_mapping(d):
+    headers, rows = _rival_sheets(d)
+    return _entries(mapping.detect_mapping(sheets.header_table(headers), sheets.sample_values(rows, headers), d.refs_plain))
+
+
 @query("P4_exact_global_code", _expected({1: {"GLOBAL_COMM_CODE_DESC": " GLOBAL COMM CODE DESC "}}), "files")
 def exact_global(d):
     return _entries(mapping.exact_global_code_column(d.headers))
