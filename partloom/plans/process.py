@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.functions.vectors import stand_in_embedding
 from partloom.operators.classify import Embedder, classify_by_similarity, classify_existing
 from partloom.operators.mapping import file_verdicts
 from partloom.plans.enrich import enrich
@@ -58,8 +57,8 @@ class RunResult:
 def classify(
     lines: DataFrame,
     sides: SideTables,
+    embedder: Embedder,
     stored: DataFrame | None = None,
-    embedder: Embedder = stand_in_embedding,
     previous: DataFrame | None = None,
     line_edits: DataFrame | None = None,
     changes: DataFrame | None = None,
@@ -69,7 +68,7 @@ def classify(
     edits = (previous, line_edits, changes)
     existing = classify_existing(lines.where(F.col("path") != "similarity"), sides.references, crosses, *edits)
     searched = classify_by_similarity(
-        lines.where(F.col("path") == "similarity"), sides.references, crosses, stored, embedder, *edits
+        lines.where(F.col("path") == "similarity"), sides.references, crosses, embedder, stored, *edits
     )
     keep = LINE_COLUMNS + OPTION_COLUMNS
     return existing.select(*keep).unionByName(searched.select(*keep))
@@ -88,8 +87,8 @@ def process_files(
     rows: DataFrame,
     files: DataFrame,
     sides: SideTables,
+    embedder: Embedder,
     stored: DataFrame | None = None,
-    embedder: Embedder = stand_in_embedding,
     previous: DataFrame | None = None,
     line_edits: DataFrame | None = None,
     changes: DataFrame | None = None,
@@ -107,7 +106,7 @@ def process_files(
     verdicts = file_verdicts(standard)
     passed = verdicts.where(F.col("valid")).select("file_id")
     good = standard.join(passed, "file_id", "left_semi")
-    classified = classify(good, sides, stored, embedder, previous, line_edits, changes)
+    classified = classify(good, sides, embedder, stored, previous, line_edits, changes)
     if cut:
         classified = written(classified, "classified")
     return RunResult(classified, enrich(classified, sides.quotes, sides.aml), file_status(verdicts))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions.text import reference_text, text_hash
-from partloom.functions.vectors import stand_in_embedding
 from partloom.operators.classify import Embedder
 from partloom.sources.catalogue import prepare_references
 
@@ -38,7 +37,7 @@ def stale_references(new: DataFrame, old: DataFrame) -> DataFrame:
     )
 
 
-def refresh_embeddings(new: DataFrame, old: DataFrame, embedder: Embedder = stand_in_embedding) -> DataFrame:
+def refresh_embeddings(new: DataFrame, old: DataFrame, embedder: Embedder) -> DataFrame:
     """Catalogue with fresh vectors on the stale rows; the provider sees only those."""
     fresh = stale_references(new, old).where(F.col("text") != "").select("id", embedder(F.col("text")).alias("fresh"))
     return new.join(fresh, "id", "left").withColumn("embedding", F.coalesce("fresh", "embedding")).drop("fresh")

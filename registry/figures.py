@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from partloom.functions import rules
+from partloom.functions.vectors import stand_in_embedding
 from partloom.operators import analytics, corrections, reuse, sessions
 from partloom.operators.classify import classify_by_similarity, classify_existing
 from partloom.operators.mapping import file_verdicts
@@ -367,7 +368,7 @@ def _uploaded(d, *steps):
         named = files.withColumn("own_id", upload_file()).join(own, "own_id", "left")
         return named.withColumns({"mapping": F.coalesce("approved", "mapping"), "auto_mode": F.coalesce("auto_mode", F.lit(False)), "demand_lookup": F.coalesce("demand_lookup", F.lit(False))}).drop("own_id", "approved")
 
-    streams = [lambda: upload_stream(d.spark, landing, target, lambda: d.sides, scratch_path(d.spark, "upload-checkpoint"), options, max_columns=16), *[lambda s=s: s(target) for s in steps]]
+    streams = [lambda: upload_stream(d.spark, landing, target, lambda: d.sides, scratch_path(d.spark, "upload-checkpoint"), stand_in_embedding, options, max_columns=16), *[lambda s=s: s(target) for s in steps]]
     for stream in streams:
         stream().trigger(availableNow=True).start().awaitTermination()
     return target
@@ -497,7 +498,7 @@ def existing(d):
 @query("Q3_classify_by_similarity", "SELECT item_id, commodity, scope FROM searched", "searched")
 def searched(d):
     lines = written(_standard(d).where(F.col("path") == "similarity"), "standard")
-    return classify_by_similarity(lines, d.refs, crosses_by_mpn(d.crosses)).select("item_id", "commodity", "scope")
+    return classify_by_similarity(lines, d.refs, crosses_by_mpn(d.crosses), stand_in_embedding).select("item_id", "commodity", "scope")
 
 
 _ENRICHED_SQL = f"""item_id, commodity, final_scope, duplication_flag, cross_mpn, CAST(ear AS DOUBLE) AS ear, ear_status, previously_quoted,
@@ -518,7 +519,7 @@ def enriched(d):
 
 @query("Q0_process_files", f"SELECT {_ENRICHED_SQL} FROM processed_enriched", "processed_enriched")
 def process(d):
-    return _shown_enriched(process_files(d.sheets, d.mapped_files, d.sides).enriched)
+    return _shown_enriched(process_files(d.sheets, d.mapped_files, d.sides, stand_in_embedding).enriched)
 
 
 @query(
@@ -533,13 +534,11 @@ def status_of_files(d):
 
 @query("Q5_file_analytics_of_run", _analytics_joined("processed_enriched"), "processed_enriched")
 def run_analytics(d):
-    result = process_files(d.sheets, d.mapped_files, d.sides)
+    result = process_files(d.sheets, d.mapped_files, d.sides, stand_in_embedding)
     return analytics.file_analytics(result.enriched).withColumn("ear", num("ear"))
 
 
 def _embedded_lines(d):
-    from partloom.functions.vectors import stand_in_embedding
-
     return d.lines.withColumn("embedding", stand_in_embedding(F.col("description")))
 
 
@@ -662,14 +661,12 @@ def loaded(d):
 )
 def refresh(d):
     """New keywords for the brands ending in 5 and missing vectors for some names; the rest keep their vector."""
-    from partloom.functions.vectors import stand_in_embedding
-
     old = d.refs_plain
     vector = F.when(F.length("level3") % 4 != 0, stand_in_embedding(F.col("level3")))
     ends = F.col("keyword").endswith("5")
     new = old.withColumns({"embedding": vector, "keyword": F.when(ends, F.concat("keyword", F.lit(" new"))).otherwise(F.col("keyword"))})
     stale = reference_plans.stale_references(new, old).select("id", F.lit(True).alias("stale"))
-    fresh = reference_plans.refresh_embeddings(new, old)
+    fresh = reference_plans.refresh_embeddings(new, old, stand_in_embedding)
     return fresh.join(stale, "id", "left").select(
         "id", F.round(F.col("embedding")[0].cast("double"), 5).alias("head"), F.coalesce("stale", F.lit(False)).alias("stale")
     )

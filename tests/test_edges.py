@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partloom import session
 from partloom.functions import money
+from partloom.functions.vectors import stand_in_embedding
 from partloom.operators import corrections, lookup, nearest, reuse
 from partloom.operators.mapping import line_problems
 from partloom.sources import sheets
@@ -106,7 +107,7 @@ def test_every_upload_gets_a_status(spark, tmp_path):
     (landing / "header.csv").write_text("ITEM,DESCRIPTION\n")
     (landing / "book.xls").write_text("binary")
     sides = Domain(spark, "/root/testdata/sf0.001").sides
-    stream = upload_stream(spark, str(landing), str(tmp_path / "out"), lambda: sides, str(tmp_path / "cp"), max_columns=8)
+    stream = upload_stream(spark, str(landing), str(tmp_path / "out"), lambda: sides, str(tmp_path / "cp"), stand_in_embedding, max_columns=8)
     stream.trigger(availableNow=True).start().awaitTermination()
     got = sorted((r["status"], r["error_message"]) for r in spark.read.parquet(str(tmp_path / "out/status")).collect())
     assert sorted(got, key=str) == [("completed", None), ("completed", None), ("failed", "Unsupported file format: book.xls")]

@@ -5,6 +5,7 @@ from decimal import Decimal
 import numpy as np
 from pyspark.sql import functions as F
 
+from partloom.functions.vectors import stand_in_embedding
 from partloom.operators import mapping, nearest, remap, sessions
 from partloom.operators.lookup import item_facts, quote_columns, with_commodity, with_item_facts
 from partloom.plans.enrich import enrich
@@ -24,7 +25,6 @@ REFERENCES = [
 
 def references(spark):
     from partloom.functions.text import reference_text
-    from partloom.functions.vectors import stand_in_embedding
 
     df = spark.createDataFrame(
         REFERENCES, "id bigint, global_code string, level1 string, level2 string, level3 string, base_scope string, auto_scope string"
@@ -220,7 +220,7 @@ def test_uploads_are_processed_once(spark, tmp_path):
     cross = [("HW-001", "S", "H1", None, "M", "COMMERCIAL", "OBSOLETE")]
 
     def run():
-        stream = upload_stream(spark, str(inbox), target, lambda: sides(spark, cross), str(tmp_path / "cp"), max_columns=8)
+        stream = upload_stream(spark, str(inbox), target, lambda: sides(spark, cross), str(tmp_path / "cp"), stand_in_embedding, max_columns=8)
         stream.trigger(availableNow=True).start().awaitTermination()
 
     run()
