@@ -18,13 +18,17 @@ _FIELDS = ["raw_item", "raw_description", "raw_std_cost", "raw_eau"]
 
 
 def written_sheets(d) -> str:
-    """Sheet CSV files of all lines in a new folder: a header row and the columns of the file's layout."""
+    """Sheet CSV files of all lines in a new folder: a header row and the columns of the file's layout.
+
+    Lines are gathered by sheet first, or every task of the join would write a small CSV file for every sheet.
+    """
     path = scratch_path(d.spark, "sheets")
     for number, fields in LAYOUTS.items():
         columns = [F.col(raw).alias(header.strip()) for raw, header in fields.items()]
         (
             d.raw.where(F.col("file_id") % 3 == number)
             .select("file_id", F.col("item_id").alias("ref"), *columns)
+            .hint("rebalance", "file_id")
             .write.mode("append")
             .option("header", "true")
             .option("ignoreLeadingWhiteSpace", "false")
