@@ -5,8 +5,12 @@ import os
 
 from pyspark.sql import functions as F
 
+from partloom.functions.vectors import stand_in_embedding
+from partloom.plans.process import SideTables, process_files, written_sides
 from partloom.sources import sheets
+from partloom.sources.side_tables import crosses_by_mpn, crosses_by_status
 from registry.scans import written_sheets
+from tests.test_operators import references
 
 
 class Lines:
@@ -36,3 +40,49 @@ def test_rows_find_their_headers_without_a_shuffle_of_the_rows(spark, tmp_path):
     assert "Exchange hashpartitioning" not in plan
     assert rows.columns == ["file", "position", "values", "too_wide", "headers", "cells"]
     assert sorted((r.cells["A"], r.cells["B"]) for r in rows.collect()) == [("a", "y")] * 3 + [("b", "y")] * 3
+
+
+def _some_sides(spark):
+    crosses = spark.createDataFrame(
+        [
+            ("M1", "H1", "AUTO", "ACTIVE"),
+            ("M1", "H2", "AUTO", " active "),
+            ("M1", None, "COMMERCIAL", "ACTIVE"),
+            ("M1", "H3", "COMMERCIAL", None),
+            ("M2", None, None, None),
+            (None, "H4", "AUTO", "ACTIVE"),
+        ]
+        * 2,
+        "cross_ref_mpn string, house_mpn string, component_grade string, status string",
+    )
+    names = spark.createDataFrame([(1, "acme", "ACME 1"), (2, "acme", "ACME 2"), (3, None, "NONE")], "id bigint, original_name string, standardized_name string")
+    quotes = spark.createDataFrame([("P1", None, "Q1", "m"), ("P1", "2024-01-01", "Q2", None), (None, None, "Q3", "m")], "item string, d string, quote_number string, quote_mpn string")
+    aml = spark.createDataFrame([("P1", 5, 2.5), ("P1", 9, None), (None, 1, 1.0)], "item string, total_demand bigint, p double")
+    return SideTables(
+        references(spark),
+        names,
+        crosses,
+        quotes.select("item", F.col("d").cast("timestamp").alias("log_date"), "quote_number", "quote_mpn"),
+        aml.select("item", "total_demand", F.col("p").cast("decimal(28,10)").alias("min_price")),
+    )
+
+
+def test_written_side_tables_give_the_same_run(spark):
+    sides = _some_sides(spark)
+    kept = written_sides(sides)
+    assert kept.crosses.count() == 5 and kept.quotes.count() == 1 and kept.aml.count() == 1 and kept.manufacturers.count() == 2
+    facts = lambda crosses: sorted(map(str, crosses_by_mpn(crosses).collect()))
+    assert facts(kept.crosses) == facts(sides.crosses) == facts(crosses_by_status(kept.crosses))
+    headers = ["ITEM", "DESCRIPTION", "MFG_PARTNO", "GLOBAL_MFG_NAME", "EAU", "STD_COST"]
+    files = spark.createDataFrame(
+        [(f, headers, {h: h for h in headers}, f == 1, True, None) for f in (0, 1)],
+        "file_id bigint, headers array<string>, mapping map<string,string>, auto_mode boolean, demand_lookup boolean, volume_multiplier int",
+    )
+    lines = [(f, f"{f}-{n}", n, ["P1", f"some capacitor {n} ceramic", mpn, "acme", "10", "1.5"]) for f in (0, 1) for n, mpn in enumerate(["M1", "M2", None])]
+    rows = spark.createDataFrame(lines, "file_id bigint, item_id string, line_no bigint, values array<string>")
+
+    def result(side):
+        enriched = process_files(rows, files, side, stand_in_embedding).enriched
+        return sorted(str(r.asDict()) for r in enriched.select(sorted(enriched.columns)).collect())
+
+    assert len(result(kept)) == 6 and result(kept) == result(sides)
