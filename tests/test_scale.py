@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from partloom.functions.vectors import stand_in_embedding
+from partloom.plans.enrich import enrich
 from partloom.plans.process import SideTables, process_files, written_sides
 from partloom.sources import sheets
 from partloom.sources.side_tables import crosses_by_mpn, crosses_by_status
@@ -86,3 +87,55 @@ def test_written_side_tables_give_the_same_run(spark):
         return sorted(str(r.asDict()) for r in enriched.select(sorted(enriched.columns)).collect())
 
     assert len(result(kept)) == 6 and result(kept) == result(sides)
+
+
+def _priced_lines(spark):
+    """Items as they stand, padded, blank and null, on one line and on several; quotes of one item in two paddings."""
+    items = ["P1", " P1", "P1 ", "P2", "", "  ", None, "P3", "P3", None]
+    rows = [(f, f"{f}-{i}", i, item, "P2" if i % 2 else "M9", i % 3 * 10) for f in (1, 2) for i, item in enumerate(items)]
+    lines = spark.createDataFrame(rows, "file_id bigint, item_id string, line_no bigint, item string, mfg_partno string, eau bigint")
+    price = lambda n: F.when(F.col("line_no") % n == 0, F.col("line_no") + n).cast("decimal(28,10)")
+    lines = lines.withColumns({"std_cost": price(2), "last_purchase_price": price(3), "last_po": price(5)}).withColumns(
+        {"scope": F.lit("Out of scope"), "demand_lookup": F.lit(True), "grade": F.lit("AUTO")}
+    )
+    quotes = [("P1", "2024-01-01", "Q1"), (" P1", "2024-02-01", "Q2"), ("", "2024-03-01", "Q3"), ("P3", None, "Q4"), ("P2", "2024-01-05", "Q5")]
+    quotes = spark.createDataFrame(quotes, "item string, d string, quote_number string").select(
+        "item", F.col("d").cast("timestamp").alias("log_date"), "quote_number", F.lit("m").alias("quote_mpn")
+    )
+    aml = spark.createDataFrame([("P1", 5, 2), (" P1", 7, 1), ("", 9, 9), ("P3", 4, None), ("P9", 1, 1)], "item string, total_demand bigint, p int")
+    crosses = spark.createDataFrame([("M9", "H", "AUTO", "ACTIVE")], "cross_ref_mpn string, house_mpn string, component_grade string, status string")
+    return lines, quotes, aml.select("item", "total_demand", F.col("p").cast("decimal(28,10)").alias("min_price")), crosses
+
+
+def test_items_find_their_quote_as_they_stand_and_their_demand_stripped(spark):
+    got = {r.item_id: r for r in enrich(*_priced_lines(spark)).collect()}
+    assert len(got) == 20
+    for f in (1, 2):
+        answers = [(r.item_quoted, r.previous_quote_number, r.total_demand, r.duplication_flag) for r in (got[f"{f}-{i}"] for i in range(10))]
+        assert answers == [
+            (True, "Q1", 5, "Unique"),
+            (True, "Q2", 5, "Unique"),
+            (False, None, 5, "Unique"),
+            (True, None, None, "Unique"),  # repeats the part number
+            (True, "Q3", None, "Unique"),
+            (False, None, None, "Unique"),
+            (False, None, None, "Unique"),
+            (True, "Q4", 4, "Unique"),
+            (True, "Q4", 4, "AML"),
+            (False, None, None, "AML"),
+        ], answers
+
+
+def test_figures_shuffle_no_prices_and_items_once(spark):
+    """Of three prices the lowest travels, and one lookup by item answers quotes and demand."""
+    shown = enrich(*_priced_lines(spark)).select("item_id", "ear", "ear_fallback", "previously_quoted", "cross_mpn", "total_demand")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = shown._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    nodes = [n for n in plan.split("\n\n") if ") Exchange\n" in n]
+    assert nodes and not [n for n in nodes if "std_cost" in n.split("\n")[1] or "last_po" in n.split("\n")[1]]
+    assert sum("file_id" in n.split("\n")[1] and "_k_item_key" in n.split("\n")[1] for n in nodes) == 1
