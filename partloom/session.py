@@ -74,7 +74,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Survives the loss of executors, unlike a local checkpoint, and gives the reader exact sizes.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     for open_list in _made:
         open_list.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
