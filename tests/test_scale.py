@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from partloom.functions.vectors import stand_in_embedding
+from partloom.operators.remap import line_edits_for
 from partloom.plans.enrich import enrich
 from partloom.plans.process import SideTables, process_files, written_sides
 from partloom.sources import sheets
@@ -129,13 +130,25 @@ def test_items_find_their_quote_as_they_stand_and_their_demand_stripped(spark):
 def test_figures_shuffle_no_prices_and_items_once(spark):
     """Of three prices the lowest travels, and one lookup by item answers quotes and demand."""
     shown = enrich(*_priced_lines(spark)).select("item_id", "ear", "ear_fallback", "previously_quoted", "cross_mpn", "total_demand")
+    nodes = _shuffled_columns(spark, shown)
+    assert nodes and not [n for n in nodes if "std_cost" in n or "last_po" in n]
+    assert sum("file_id" in n and "_k_item_key" in n for n in nodes) == 1
+
+
+def test_descriptions_travel_through_one_lookup_of_edits(spark):
+    lines = spark.createDataFrame([(1, "a", 1, "P1", "red box")], "file_id bigint, item_id string, line_no bigint, item string, description string")
+    edits = spark.createDataFrame([(1, "a", "E")], "file_id bigint, item_id string, new_commodity string")
+    nodes = _shuffled_columns(spark, line_edits_for(lines, lines, edits).select("item_id", "edited_commodity"))
+    assert sum("description" in n and "_k_edit_key" in n for n in nodes) == 1
+
+
+def _shuffled_columns(spark, df):
+    """The input columns of every exchange of a plan without broadcasts."""
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = shown._jdf.queryExecution().explainString(mode)
+        plan = df._jdf.queryExecution().explainString(mode)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    nodes = [n for n in plan.split("\n\n") if ") Exchange\n" in n]
-    assert nodes and not [n for n in nodes if "std_cost" in n.split("\n")[1] or "last_po" in n.split("\n")[1]]
-    assert sum("file_id" in n.split("\n")[1] and "_k_item_key" in n.split("\n")[1] for n in nodes) == 1
+    return [n.split("\n")[1] for n in plan.split("\n\n") if ") Exchange\n" in n]
