@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -57,14 +57,15 @@ _AFTER = r"(?![\p{L}\p{M}\p{N}_])"
 
 
 def _rewrite(kind: str, body: str, text: str) -> tuple[str, str]:
-    """Pattern and replacement of a rule."""
+    """Pattern and replacement of a rule. The first letter is looked at before the border, which costs more."""
+    first = re.search("[A-Za-z]", body)
     body = _rewrite_body(body)
     if kind == "plain":
         return body, text
     if kind == "listed":
         return rf"(?imd)(^|,{_ASCII_SPACE}*){body}{_AFTER}", "$1" + text
     tail = r"(?![^(]*\))" if kind == "bare" else ""
-    return rf"(?i){_BEFORE}{body}{_AFTER}{tail}", text
+    return rf"(?i)(?={first[0]}){_BEFORE}{body}{_AFTER}{tail}", text
 
 
 def _stem(body: str) -> str:
@@ -72,18 +73,28 @@ def _stem(body: str) -> str:
     return max(re.split(r"[^A-Za-z0-9/&]+", re.sub(r"\[[^\]]*\]|\\s|\w\?", " ", body)), key=len).upper()
 
 
-def _may_rewrite(c: Column) -> Column:
-    """False only for texts no rule can match; most descriptions need no rule at all.
+def _steps() -> list[tuple[str, str, str]]:
+    """Stem, pattern and replacement of every rule in order; the rule without letters is one step per character."""
+    steps = []
+    for kind, body, text in rules.DESCRIPTION_REWRITES:
+        if _stem(body):
+            steps.append((_stem(body), *_rewrite(kind, body, text)))
+        else:
+            steps += [(char, char, text) for char in body.strip("[]")]
+    return steps
 
-    Plain substring tests come first; one pattern over all rules follows for texts that pass them.
-    """
-    stems = sorted({_stem(body) for _, body, _ in rules.DESCRIPTION_REWRITES if _stem(body)} | set("–—−"))
-    upper = F.array(F.upper(c))
-    seen = F.exists(upper, lambda u: reduce(lambda a, b: a | b, [F.contains(u, F.lit(s)) for s in stems]))
+
+def _holds_stem(upper: Column) -> Column:
+    """False only for texts no rule can match, by plain substring tests of the text in upper case."""
+    return reduce(lambda a, b: a | b, [F.contains(upper, F.lit(s)) for s in sorted({stem for stem, _, _ in _steps()})])
+
+
+def _may_rewrite(c: Column) -> Column:
+    """One pattern over all rules; a text that it does not match stays as it is."""
     words = "|".join(_rewrite_body(b) for k, b, _ in rules.DESCRIPTION_REWRITES if k in ("word", "bare"))
     listed = "|".join(_rewrite_body(b) for k, b, _ in rules.DESCRIPTION_REWRITES if k == "listed")
     plain = "|".join(_rewrite_body(b) for k, b, _ in rules.DESCRIPTION_REWRITES if k == "plain")
-    return seen & c.rlike(rf"(?imd)\b(?:{words})\b|(?:^|,{_ASCII_SPACE}*)(?:{listed})\b|{plain}")
+    return c.rlike(rf"(?imd)\b(?:{words})\b|(?:^|,{_ASCII_SPACE}*)(?:{listed})\b|{plain}")
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -97,28 +108,32 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 def expand_description(c: Column) -> Column:
     """Spell out component abbreviations; blank becomes the empty string.
 
-    A rule's pattern runs only on texts that contain the letters of the rule.
+    A rule's pattern runs only on texts that contain the letters of the rule. The upper-case text that this is seen in is
+    carried along and built anew only when a rule has changed the text. The pattern over all rules, which
+    searches a long text without any match to its end, is asked only where the rules would change something.
     """
 
-    def step(acc: Column, rule: tuple[str, str, str]) -> Column:
-        pattern, new = _rewrite(*rule)
-        stem = _stem(rule[1])
-        if not stem:
-            return F.regexp_replace(acc, pattern, new)
-        return bound(
-            acc, lambda x: F.when(F.contains(F.upper(x), F.lit(stem)), F.regexp_replace(x, pattern, new)).otherwise(x)
-        )
+    steps = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("stem", "pattern", "new"), step)]) for step in _steps()])
+
+    def apply(state: Column, step: Column) -> Column:
+        text = state["text"]
+        done = F.regexp_replace(text, step["pattern"], step["new"])
+        changed = bound(done, lambda d: F.when(d == text, state).otherwise(F.struct(d.alias("text"), F.upper(d).alias("upper"))))
+        return F.when(F.contains(state["upper"], step["stem"]), changed).otherwise(state)
 
-    def rewritten(text: Column) -> Column:
-        return F.when(_may_rewrite(text), reduce(step, rules.DESCRIPTION_REWRITES, text)).otherwise(text)
+    def rewritten(state: Column) -> Column:
+        text = state["text"]
+        new = F.aggregate(steps, state, apply, lambda s: s["text"])
+        changed = bound(new, lambda n: F.when((n != text) & _may_rewrite(text), n).otherwise(text))
+        return F.when(_holds_stem(state["upper"]), changed).otherwise(text)
 
-    return F.when(is_blank(c), F.lit("")).otherwise(strip(bound(c, rewritten)))
+    state = F.struct(c.alias("text"), F.upper(c).alias("upper"))
+    return F.when(is_blank(c), F.lit("")).otherwise(strip(bound(state, rewritten)))
 
 
 def expansion_is_stable(c: Column) -> Column:
-    """Whether a second expansion would change nothing."""
-    once = expand_description(c)
-    return once == expand_description(once)
+    """Whether a second expansion would change nothing; a text that the first one left alone needs no second."""
+    return bound(expand_description(c), lambda once: F.when(once == c, F.lit(True)).otherwise(once == expand_description(once)))
 
 
 def code_name(c: Column, keep_hyphen: bool = True) -> Column:

@@ -116,6 +116,14 @@ def test_expansion_is_not_always_stable(spark):
     assert apply(spark, text.expansion_is_stable, ["RJ45", "GaN", "SiC", "PCB"]) == [False, False, False, True]
 
 
+def test_a_long_text_is_put_in_upper_case_once_per_change(spark):
+    """Every rule did so anew, and the first expansion was built three times."""
+    frame = spark.createDataFrame([(" PCB",), ("PCB",), ("a RJ45",), ("𝐀RJ45 every – music",), (None,)], "v string")
+    stable = frame.select(text.expansion_is_stable(F.col("v")).alias("r"))
+    assert [r["r"] for r in stable.collect()] == [False, True, False, True, True]
+    assert stable._jdf.queryExecution().optimizedPlan().toString().count("upper(") <= 4
+
+
 def test_every_rule_fires(spark):
     samples = {
         "word": "{}", "bare": "{}", "listed": "{}", "plain": "a{}b",
