@@ -1,11 +1,15 @@
 """Work that must grow with the rows, not with the product of tasks, files or batches."""
 
 import glob
+import hashlib
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from partloom.functions.text import text_hash
 from partloom.functions.vectors import stand_in_embedding
+from partloom.operators import reuse
 from partloom.operators.remap import line_edits_for
 from partloom.plans.enrich import enrich
 from partloom.plans.process import SideTables, process_files, written_sides
@@ -152,3 +156,25 @@ def _shuffled_columns(spark, df):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     return [n.split("\n")[1] for n in plan.split("\n\n") if ") Exchange\n" in n]
+
+
+def test_texts_and_stored_vectors_are_shuffled_once_each_by_the_bytes_of_the_hash(spark):
+    """The texts were shuffled as texts and then by the hex form of their hash."""
+    rows = [(2, 1, "a", [2.0]), (1, 5, "a", [1.5]), (1, 3, " a ", [1.3]), (1, 1, "b", None), (1, 2, "c", [3.0]), (1, 4, None, [9.0]), (1, 6, "", [8.0])]
+    lines = spark.createDataFrame(rows, "file_id long, line_no long, text string, embedding array<float>")
+    stored = lines.withColumn("text_hash", text_hash(F.trim("text")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = reuse.reuse_embeddings(reuse.distinct_texts(lines, keyed=True), stored)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2, plan
+    assert found.columns == ["text_hash", "text", "embedding"]
+    assert sorted((r.text, r.embedding) for r in found.select("text", F.col("embedding")[0].alias("embedding")).collect()) == [("a", pytest.approx(1.3)), ("b", None), ("c", 3.0)]
+    assert {r.text_hash for r in found.collect()} == {hashlib.sha256(t.encode()).hexdigest() for t in "abc"}
+    # Hashes of another form are compared as they are: as text, not as bytes in hex.
+    odd = [("h1",), ("ab" * 32,), ("AB" * 32,), ("ab" * 32 + "\n",), ("x" * 32,), (None,)]
+    texts = spark.createDataFrame(odd, "text_hash string").withColumn("text", F.col("text_hash"))
+    known = texts.select(F.lit(1).alias("file_id"), F.lit(1).alias("line_no"), "text_hash", F.array("text_hash").alias("embedding"))
+    assert all(r.embedding == (r.text_hash and [r.text_hash]) for r in reuse.reuse_embeddings(texts, known).collect())
