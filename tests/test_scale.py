@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from partloom.functions.text import text_hash
 from partloom.functions.vectors import stand_in_embedding
 from partloom.operators import reuse
-from partloom.operators.remap import line_edits_for
+from partloom.operators.remap import line_edits_for, matched_previous
 from partloom.plans.enrich import enrich
 from partloom.plans.process import SideTables, process_files, written_sides
 from partloom.sources import sheets
@@ -178,3 +178,16 @@ def test_texts_and_stored_vectors_are_shuffled_once_each_by_the_bytes_of_the_has
     texts = spark.createDataFrame(odd, "text_hash string").withColumn("text", F.col("text_hash"))
     known = texts.select(F.lit(1).alias("file_id"), F.lit(1).alias("line_no"), "text_hash", F.array("text_hash").alias("embedding"))
     assert all(r.embedding == (r.text_hash and [r.text_hash]) for r in reuse.reuse_embeddings(texts, known).collect())
+
+
+def test_old_lines_are_built_once_for_their_keys_and_for_the_result(spark):
+    schema = "file_id long, item_id string, item string, description string"
+    lines = spark.createDataFrame([(1, "n1", "P1", "red bolt"), (1, "n2", None, " gear "), (2, "n3", "a|b", None), (3, "n4", None, None)], schema)
+    old = [(1, "o1", "P1", "x"), (1, "o2", "P9", "gear"), (1, "o3", "P9", "x"), (2, "o4", "a", "b"), (2, "o5", "P1", "red bolt"), (3, "o6", None, None), (None, "o7", "P1", "x"), (1, None, "P1", "x"), (1, "o1", "P7", "x")]
+    rows = spark.createDataFrame(old, schema)
+    kept = rows.join(spark.createDataFrame([(i,) for i in {o[1] for o in old} if i], "item_id string"), "item_id")
+    found = matched_previous(lines, kept)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 2 and "Join Inner" not in plan, plan
+    assert found.columns == ["item_id", "file_id", "item", "description"]
+    assert sorted((r.item_id, r.item) for r in found.collect()) == [("o1", "P1"), ("o1", "P7"), ("o2", "P9"), ("o4", "a"), ("o6", None)]
