@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partloom.functions.text import category_path, reference_text, sample_mpns, stored_line_text
+from partloom.functions.text import bound, category_path, reference_text, sample_mpns, stored_line_text
 
 DECISION_SCHEMA = (
     "should_correct boolean, confidence_level string, current_assignment_correct boolean, "
@@ -125,7 +125,7 @@ def decision_text(response: Column) -> Column:
     """JSON part of a response: the first fenced block, else from the last ``{`` to the last ``}``."""
     fenced = F.regexp_extract(response, r"(?s)```json\s*(\{.*?\})\s*```", 1)
     tail = F.regexp_extract(response, r"(?s).*(\{.*\})", 1)
-    return F.when(fenced != "", fenced).otherwise(tail)
+    return bound(fenced, lambda block: F.when(block != "", block).otherwise(tail))
 
 
 def _default_decision() -> Column:
@@ -140,15 +140,30 @@ def _default_decision() -> Column:
     )
 
 
-def is_readable(response: Column) -> Column:
-    text = decision_text(response)
+def _is_object(text: Column) -> Column:
     return F.coalesce((text != "") & F.try_parse_json(text).isNotNull(), F.lit(False))
 
 
+def is_readable(response: Column) -> Column:
+    return bound(decision_text(response), _is_object)
+
+
+def read_response(response: Column) -> Column:
+    """Struct of ``readable`` and ``decision`` of a free text, which is searched and parsed once for both.
+
+    Without a readable object nothing is corrected, with low confidence.
+    """
+
+    def read(text: Column, readable: Column) -> Column:
+        decision = F.when(readable, F.from_json(text, DECISION_SCHEMA)).otherwise(_default_decision())
+        return F.struct(readable.alias("readable"), decision.alias("decision"))
+
+    return bound(decision_text(response), lambda text: bound(_is_object(text), lambda readable: read(text, readable)))
+
+
 def parse_decision(response: Column) -> Column:
-    """Decision struct of a free text; without a readable object nothing is corrected, with low confidence."""
-    parsed = F.from_json(decision_text(response), DECISION_SCHEMA)
-    return F.when(is_readable(response), parsed).otherwise(_default_decision())
+    """Decision struct of a free text."""
+    return read_response(response)["decision"]
 
 
 def parsed_decisions(responses: DataFrame) -> DataFrame:
@@ -225,9 +240,10 @@ def review_outcomes(asked: DataFrame, lines: DataFrame, responses: DataFrame) ->
     error = (
         F.when(F.col("file_id").isNull(), UNKNOWN_LINE)
         .when(F.col("response_text").isNull(), NO_RESPONSE)
-        .when(~is_readable(F.col("response_text")), UNREADABLE)
+        .when(~F.col("read.readable"), UNREADABLE)
     )
-    judged = met.select("*", error.alias("error"), parse_decision(F.col("response_text")).alias("d")).select("*", "d.*")
+    read = met.select("*", read_response(F.col("response_text")).alias("read"))
+    judged = read.select("*", error.alias("error"), "read.decision.*")
     applied = F.col("error").isNull() & is_applied()
     return judged.select(
         "item_id",

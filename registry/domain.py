@@ -366,9 +366,10 @@ class Domain:
             .otherwise(F.concat(F.lit("no decision for "), key))
         )
         answered = self._base.select("item_id", "l_partkey", F.col("l_quantity").alias("qty")).select("item_id", "qty", text.alias("response_text"))
-        last = answered.select("item_id", "response_text", F.lit(2).alias("response_no"))
-        superseded = answered.where("qty % 3 = 0").select("item_id", F.lit('{"should_correct": true, "confidence_level": "high"}'), F.lit(1))
-        return last.union(superseded)
+        last = F.struct("response_text", F.lit(2).alias("response_no"))
+        superseded = F.struct(F.lit('{"should_correct": true, "confidence_level": "high"}').alias("response_text"), F.lit(1).alias("response_no"))
+        of_line = F.when(F.col("qty") % 3 == 0, F.array(last, superseded)).otherwise(F.array(last))
+        return answered.select("item_id", F.explode(of_line).alias("response")).select("item_id", "response.*")
 
     @cached_property
     def sides(self) -> SideTables:

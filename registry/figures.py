@@ -631,7 +631,8 @@ def audit(d):
 )
 def outcomes(d):
     """All lines are asked, and some that are not stored; lines of files in auto mode get no response."""
-    asked = d.lines.select("item_id").union(d.lines.where("eau < 5").select(F.concat(F.lit("x"), "item_id")))
+    stored, unknown = F.col("item_id"), F.concat(F.lit("x"), "item_id")
+    asked = d.lines.select(F.explode(F.when(F.col("eau") < 5, F.array(stored, unknown)).otherwise(F.array(stored))).alias("item_id"))
     answered = d.responses.join(d.lines.where("NOT auto_mode").select("item_id"), "item_id", "left_semi")
     found = corrections.review_outcomes(asked, d.lines, answered)
     return found.select("item_id", "success", "error", "correction_applied", "old_commodity", "new_commodity")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from partloom.functions.text import text_hash
 from partloom.functions.vectors import stand_in_embedding
 from partloom.operators import reuse
+from partloom.operators.corrections import review_outcomes
 from partloom.operators.remap import line_edits_for, matched_previous
 from partloom.plans.enrich import enrich
 from partloom.plans.process import SideTables, process_files, written_sides
@@ -191,3 +192,12 @@ def test_old_lines_are_built_once_for_their_keys_and_for_the_result(spark):
     assert plan.count("Join LeftSemi") == 2 and "Join Inner" not in plan, plan
     assert found.columns == ["item_id", "file_id", "item", "description"]
     assert sorted((r.item_id, r.item) for r in found.collect()) == [("o1", "P1"), ("o1", "P7"), ("o2", "P9"), ("o4", "a"), ("o6", None)]
+
+
+def test_a_response_is_searched_once_for_its_error_and_its_decision(spark):
+    lines = spark.createDataFrame([(1, "a", "C", "S"), (1, "b", "C", "S")], "file_id long, item_id string, commodity string, scope string")
+    fenced = '```json\n{"should_correct": true, "confidence_level": "high", "recommended_commodity": "N"}\n```'
+    responses = spark.createDataFrame([("a", fenced), ("b", "{no json}")], "item_id string, response_text string")
+    found = review_outcomes(lines.select("item_id"), lines, responses)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("```json") == 1
+    assert sorted((r.item_id, r.error, r.new_commodity) for r in found.collect()) == [("a", None, "N"), ("b", "unreadable response", None)]
